@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import packing, sharding
+from quillon.llm import decontaminate, packing, sharding, simhash
 
 _QUERIES = {
     "op1_sharding": sharding.query,
     "op2_packing": packing.query,
+    "op5_decontamination": decontaminate.query,
+    "op9_simhash": simhash.query,
 }
 
 
