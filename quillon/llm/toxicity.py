@@ -2,7 +2,8 @@
 
 A text's features are the hashed character n-grams it holds, each once. Feature f is scaled by r(f) = log((p(f) + 1) /
 sum(p + 1)) - log((q(f) + 1) / sum(q + 1)), where p and q count the toxic and other training texts that hold f; a logistic
-regression learns weights for the scaled features. Features of fewer than 3 training texts are left out.
+regression learns weights for the scaled features. Features of too few training texts (10, fewer if there
+are few texts) are left out.
 
 It learns from at most PER_CLASS labelled texts a class, those with the smallest hash of the document id.
 
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import blocks, documents, fresh, remainder
 from quillon.llm.ngrams import hashed, present
 
-ORDERS, FEATURE_BITS = range(3, 6), 18
+ORDERS, FEATURE_BITS = range(3, 6), 20
 PER_CLASS = 2000
-STEPS = 40
-LEAST_TEXTS = 3
+STEPS = 60
+LEAST_TEXTS = 10
+#: Features whose log-count ratio lies nearer to 0 are left out; strength of the penalty on squared weights.
+LEAST_RATIO, PENALTY = 1.0, 0.01
 
 
 def train(features: list[np.ndarray], toxic: np.ndarray, bits: int = FEATURE_BITS) -> dict:
@@ -41,7 +44,7 @@ def train(features: list[np.ndarray], toxic: np.ndarray, bits: int = FEATURE_BIT
     row = np.repeat(np.arange(n), [len(x) for x in features])
     p, q = (np.bincount(index, weights=w[row], minlength=size) for w in (toxic.astype(float), (~toxic).astype(float)))
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    ratio[p + q < LEAST_TEXTS] = 0
+    ratio[(p + q < min(LEAST_TEXTS, 1 + n // 100)) | (np.abs(ratio) < LEAST_RATIO)] = 0
     kept = ratio[index] != 0
     index, row = index[kept], row[kept]
     scale = ratio[index].astype(np.float32)
@@ -53,7 +56,7 @@ def train(features: list[np.ndarray], toxic: np.ndarray, bits: int = FEATURE_BIT
     for step in range(1, STEPS + 1):  # Adam
         margin = np.clip((np.bincount(row, weights=scale * weights[index], minlength=n) + bias) * sign, -30, 30)
         slope = -sign / (1 + np.exp(margin)) * share
-        g, g_b = np.bincount(index, weights=scale * slope[row], minlength=size) + 1e-6 * weights, slope.sum()
+        g, g_b = np.bincount(index, weights=scale * slope[row], minlength=size) + PENALTY * weights, slope.sum()
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         first_b, second_b = 0.9 * first_b + 0.1 * g_b, 0.99 * second_b + 0.01 * g_b * g_b
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
