@@ -13,7 +13,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,74 +22,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, documents
+from quillon.llm.common import blocks, documents, raw
 
 CAPACITY = 2048
 GROUP = 16384
 #: Distinct words that a worker remembers; beyond it, it forgets all and goes on.
-WORDS = 400_000
-#: White space that the tokenizer drops whatever stands beside it.
-SPACE = re.compile("[ \t\n\r]+")
-
-
-class Words(dict):
-    """Word to number; new words are numbered and kept in `new`."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+WORDS = 600_000
+#: Text bytes that are looked up at once.
+LOOKUP_BYTES = 4 << 20
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, through a bounded memory of words."""
+    """Ids of texts by a tokenizer file that drops white space, through a bounded memory of words."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.words = Words()
+        self.words: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.known = self.filled = 0
-
-    def learn(self) -> None:
-        new = self.words.new
-        for begin in range(0, len(new), 8192):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new[begin : begin + 8192], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(sizes.sum()), len(ids)
-            while self.filled + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.known + n > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.ids[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.starts[self.known : self.known + n] = self.filled + np.cumsum(sizes) - sizes
-            self.sizes[self.known : self.known + n] = sizes
-            self.filled, self.known = self.filled + total, self.known + n
-        new.clear()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the text, then 0."""
+        self.filled = 0
+
+    def learn(self, new: list[bytes]) -> None:
+        """Plain words go to the tokenizer many at a time, parted by where tokens end words; others one by one."""
+        texts = [x.decode("utf-8", "surrogatepass") for x in new]
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        ids: list = [None] * len(texts)
+        for begin in range(0, len(plain), 2048):
+            part = plain[begin : begin + 2048]
+            joined = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[joined]) + 1
+            if len(ends) == len(part):
+                for i, x in zip(part, np.split(joined, ends[:-1]), strict=True):
+                    ids[i] = x
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = x.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        known, total = len(self.words), int(sizes.sum())
+        while self.filled + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while known + len(new) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.filled : self.filled + total] = np.concatenate(ids) if total else 0
+        self.starts[known : known + len(new)] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[known : known + len(new)] = sizes
+        self.words.update(zip(new, range(known, known + len(new)), strict=True))
+        self.filled += total
+
+    def encode(self, text: bytes) -> Iterator[np.ndarray]:
+        """Ids of the text, a stretch of about LOOKUP_BYTES at a time."""
+        begin = 0
+        while begin < len(text):
+            end = begin + LOOKUP_BYTES
+            if end < len(text):
+                end = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end)) + 1 or len(text)
+            found = text[begin:end].split() if begin or end < len(text) else text.split()
+            begin = end
+            if len(self.words) > WORDS:
+                self.forget()
+            new = set(found).difference(self.words)
+            if new:
+                self.learn(list(new))
+            numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+            sizes = self.sizes[numbers]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(total)]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Texts are looked up together, about LOOKUP_BYTES at a time."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if held and size + len(text) > LOOKUP_BYTES:
+                out += self._together(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        return out + self._together(held) if held else out
+
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(texts) == 1:
+            return [np.concatenate([*self.encode(texts[0]), np.zeros(0, np.uint32)])]
+        found = [x.split() for x in texts]
+        every = [w for words in found for w in words]
         if len(self.words) > WORDS:
             self.forget()
-        numbers = list(map(self.words.__getitem__, SPACE.split(text)))
-        if self.words.new:
-            self.learn()
-        numbers = np.array(numbers, np.int64)
+        new = set(every).difference(self.words)
+        if new:
+            self.learn(list(new))
+        numbers = np.fromiter(map(self.words.__getitem__, every), np.int64, len(every))
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        out = np.zeros(total + 1, np.uint32)
-        out[:total] = self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(total)]
-        return out
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
+        return np.split(ids, ends[np.cumsum([len(x) for x in found])[:-1]])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,10 +136,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for table in blocks(batches, "t"):
+        for table in blocks(batches, "t", LOOKUP_BYTES):
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, x in enumerate(table.column("t").to_pylist()):
-                ids = encoder.encode(x or "").astype("<u4")
+            for row, found in enumerate(encoder.encode_all(raw(table.column("t")))):
+                ids = np.append(found, 0).astype("<u4")
                 for number, begin in enumerate(range(0, len(ids), capacity)):
                     part = ids[begin : begin + capacity]
                     rows.append(row)

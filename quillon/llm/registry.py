@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, langid, packing, sharding, simhash, toxicity
+from quillon.llm import decontaminate, langid, neighbours, packing, sharding, simhash, toxicity
 
 _QUERIES = {
     "op1_sharding": sharding.query,
     "op2_packing": packing.query,
     "op5_decontamination": decontaminate.query,
     "op7_langid": langid.query,
+    "op8_neighbours": neighbours.query,
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
 }
