@@ -26,14 +26,16 @@ from quillon.llm.common import blocks, documents, raw
 
 CAPACITY = 2048
 GROUP = 16384
-#: Distinct words that a worker remembers; beyond it, it forgets all and goes on.
-WORDS = 600_000
+#: Distinct words that a worker process remembers, over all its tasks; beyond it, it forgets all and goes on.
+WORDS = 1_200_000
+#: ASCII punctuation without the apostrophe, which can begin a piece with the letters after it.
+PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
 #: Text bytes that are looked up at once.
 LOOKUP_BYTES = 4 << 20
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file that drops white space, through a bounded memory of words."""
+    """Ids of texts by a tokenizer file that drops white space and case, through a bounded memory of words."""
 
     def __init__(self, path: str):
         import os
@@ -55,31 +57,43 @@ class Encoder:
         self.filled = 0
 
     def learn(self, new: list[bytes]) -> None:
-        """Plain words go to the tokenizer many at a time, parted by where tokens end words; others one by one."""
-        texts = [x.decode("utf-8", "surrogatepass") for x in new]
-        plain = [i for i, x in enumerate(texts) if x.isalpha()]
-        ids: list = [None] * len(texts)
+        """Letters, and letters before punctuation, go to the tokenizer many at a time, parted by where tokens end words; other words one by one."""
+        plain, pieces, rest = [], [], []
+        for word in new:
+            if (text := word.decode()).isalpha():
+                plain.append(word)
+                pieces.append(1)
+            elif text.rstrip(PUNCTUATION).isalpha():
+                plain.append(word)
+                pieces.append(2)
+            else:
+                rest.append(word)
+        order, flat, sizes = [], [], []
         for begin in range(0, len(plain), 2048):
             part = plain[begin : begin + 2048]
-            joined = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[joined]) + 1
-            if len(ends) == len(part):
-                for i, x in zip(part, np.split(joined, ends[:-1]), strict=True):
-                    ids[i] = x
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = x.ids
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        known, total = len(self.words), int(sizes.sum())
-        while self.filled + total > len(self.ids):
+            joined = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            stops, last = np.flatnonzero(self.ends[joined]) + 1, np.cumsum(pieces[begin : begin + 2048])
+            if len(stops) == last[-1]:
+                order += part
+                flat.append(joined)
+                sizes.append(np.diff(stops[last - 1], prepend=0))
+            else:
+                rest += part
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
+        order += rest
+        flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat, sizes = np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
+        known = len(self.words)
+        while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while known + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.ids[self.filled : self.filled + total] = np.concatenate(ids) if total else 0
+        self.ids[self.filled : self.filled + len(flat)] = flat
         self.starts[known : known + len(new)] = self.filled + np.cumsum(sizes) - sizes
         self.sizes[known : known + len(new)] = sizes
-        self.words.update(zip(new, range(known, known + len(new)), strict=True))
-        self.filled += total
+        self.words.update(zip(order, range(known, known + len(new)), strict=True))
+        self.filled += len(flat)
 
     def encode(self, text: bytes) -> Iterator[np.ndarray]:
         """Ids of the text, a stretch of about LOOKUP_BYTES at a time."""
@@ -88,7 +102,7 @@ class Encoder:
             end = begin + LOOKUP_BYTES
             if end < len(text):
                 end = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end)) + 1 or len(text)
-            found = text[begin:end].split() if begin or end < len(text) else text.split()
+            found = text[begin:end].lower().split()
             begin = end
             if len(self.words) > WORDS:
                 self.forget()
@@ -115,7 +129,7 @@ class Encoder:
     def _together(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(texts) == 1:
             return [np.concatenate([*self.encode(texts[0]), np.zeros(0, np.uint32)])]
-        found = [x.split() for x in texts]
+        found = [x.lower().split() for x in texts]
         every = [w for words in found for w in words]
         if len(self.words) > WORDS:
             self.forget()
@@ -129,13 +143,21 @@ class Encoder:
         return np.split(ids, ends[np.cumsum([len(x) for x in found])[:-1]])
 
 
+def remembered(path: str) -> Encoder:
+    """This process's encoder for the file: what it has learned lasts from task to task, and changes no result."""
+    import sys
+
+    held = sys.__dict__.setdefault("_quillon_encoders", {})
+    return held.get(path) or held.setdefault(path, Encoder(path))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece of each text: doc_id, piece, start, length, ids_crc32."""
     kind = docs.schema[key].dataType
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = remembered(tokenizer)
         for table in blocks(batches, "t", LOOKUP_BYTES):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, found in enumerate(encoder.encode_all(raw(table.column("t")))):
