@@ -30,7 +30,7 @@ LANGUAGES = 500
 BITS_BEYOND = 63
 STEPS = 60
 #: A text is flagged if the chosen language's share is below this.
-SURE = 0.6
+SURE = 0.5
 
 
 def codewords(n: int) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import blocks, cut, documents, raw, remainder
 
 BLOCK_TEXT, SHARD_TEXT = 28 << 20, 24 << 20
-U2, U3 = 200.0, 20.0
+U2, U3 = 2000.0, 10.0
 START, END = 0, 1
 #: Steps of an octave in the 8-bit codes; code 0 is absent.
 STEPS = 6.35
