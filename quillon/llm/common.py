@@ -35,16 +35,31 @@ def fresh(taken, *wanted: str) -> list[str]:
     return out
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the folder that all executors share."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's own, or a new one where none is set."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df with its lineage cut, kept in the folder that all executors share."""
+    shared_folder(spark)
     return df.checkpoint(eager=True)
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written as Parquet into the folder that all executors share, and read again."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Batches regrouped into tables of about `most` text bytes; a longer text stays whole, in a table of its own size."""
     held: list[pa.RecordBatch] = []

@@ -31,6 +31,8 @@ BITS_BEYOND = 63
 STEPS = 60
 #: A text is flagged if the chosen language's share is below this.
 SURE = 0.5
+#: The language of texts that have none.
+UNKNOWN = "und"
 
 
 def codewords(n: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
         learned = shared.value
         for table in blocks(batches, "t"):
             texts = table.column("t").to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             rows = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))] if learned else []
             for begin in range(0, len(rows), 512):
                 part = rows[begin : begin + 512]

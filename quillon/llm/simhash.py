@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, components, cut, documents, raw
+from quillon.llm.common import blocks, components, cut, documents, fresh, raw
 
 BITS = 3
 SHINGLE = 3
@@ -61,16 +61,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(values)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, the extra columns and fp, the fingerprint as a signed long."""
+    given = [key, *(extra or [])]
+    names = ["doc_id", *(extra or [])]
+    schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, given, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "t"):
             values = np.array([fingerprint(x, shingle) for x in raw(table.column("t"))], np.uint64).view(np.int64)
-            yield from pa.table([table.column("k"), pa.array(values)], ["doc_id", "fp"]).to_batches()
+            yield from pa.table([*(table.column(n) for n in names), pa.array(values)], [*names, "fp"]).to_batches()
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, given, strict=True)), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"{schema}, fp long")
 
 
 def half(values: np.ndarray, which: int) -> np.ndarray:
@@ -209,17 +211,30 @@ def connect(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id of each document."""
-    marks = cut(docs.sparkSession, fingerprints(docs, key, text, shingle))
-    nodes = cut(docs.sparkSession, marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, fp, root (the group's smallest fingerprint), component_id, and the extra columns, of each document."""
+    spark = docs.sparkSession
+    marks = cut(spark, fingerprints(docs, key, text, shingle, extra))
+    nodes = cut(spark, marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connect(links(nodes))
-    members = roots.join(nodes, roots["node"] == nodes["fp"]).select("root", "node", "least")
-    lowest = members.select("root", "least").unionByName(roots.select("root").distinct().join(nodes, F.col("root") == F.col("fp")).select("root", "least")).groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = members.select("root", F.col("node").alias("fp")).unionByName(roots.select("root", F.col("root").alias("fp")).distinct()).join(lowest, "root").select("fp", F.col("component_id").alias("_joined"))
-    ids = nodes.join(mapped, "fp", "left").select("fp", F.coalesce("_joined", "least").alias("component_id"))
-    return marks.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks.join(named.select("fp", "root").join(lowest, "root"), "fp")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each group: that of the smallest key (null last), of several of one key the one with the smallest hash of all columns."""
+    from pyspark.sql import Window
+
+    row, again = fresh(docs.columns, "row_hash", "row_again")
+    hashed = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    found = groups(hashed, key, text, shingle, extra=[row])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", row), order).alias("w")).select(F.col("w.doc_id").alias("_key"), F.col(f"w.{row}").alias("_row"))
+    first = hashed.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col(row) == F.col("_row")), "left_semi")
+    # Rows that repeat another one in all columns.
+    return first.withColumn(again, F.row_number().over(Window.partitionBy(f"`{key}`", row).orderBy(F.lit(0)))).where(F.col(again) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
