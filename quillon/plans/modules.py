@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ()
+NAMES: tuple[str, ...] = ("search",)
 
 
 def load() -> None:
