@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search",)
+NAMES: tuple[str, ...] = ("search", "maintain")
 
 
 def load() -> None:
