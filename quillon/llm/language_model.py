@@ -3,11 +3,11 @@
 The model is a trigram model with additive (Dirichlet) smoothing towards the shorter context:
 p(z|x,y) = (c(x,y,z) + U3 p(z|y)) / (c(x,y) + U3), p(z|y) = (c(y,z) + U2 p(z)) / (c(y) + U2), p(z) = (c(z) + 1) / (N + V + 1).
 
-Three steps. (1) Each task cuts its documents into blocks, numbers their words, and reduces a block to its distinct words,
+After a count of tokens and distinct tokens, three steps. (1) Each task cuts its documents into blocks, numbers their words, and reduces a block to its distinct words,
 pairs and triples with their training counts, dealt to shards: a word by its hash, a pair and the triples that begin with it
-by the hash of the pair, so that no word, however frequent, makes a large shard. (2) Each shard adds the counts up, builds a
-trie, writes it to a file, maps that into memory, looks up what each block asked and answers in the order asked. The answers
-are kept in the shared folder. (3) Each block puts its answers together and sums its texts' log-probabilities.
+by the hash of the pair, so that no word, however frequent, makes a large shard. (2) Each shard adds the counts up, builds
+tries (one for each portion of its pairs, to bound its memory), writes each to a file, maps that into memory, looks up what
+each block asked and answers in the order asked. (3) Each block puts its answers together and sums its texts' log-probabilities.
 
 A trie has the levels x, x y and x y z. A level is one monotone sequence in Elias-Fano form, each node's successors raised by
 the last value before them, with a monotone sequence of pointers to where a node's successors begin. Words of the third
@@ -35,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, cut, documents, raw, remainder
+from quillon.llm.common import blocks, documents, raw, remainder
 
-BLOCK_TEXT, SHARD_TEXT = 28 << 20, 24 << 20
+BLOCK_TEXT, SHARD_TEXT = 28 << 20, 32 << 20
+#: Triples, repeats included, that are looked up through one trie.
+PORTION = 1_000_000
+#: Parts in which distinct words are counted.
+PARTS = 256
 U2, U3 = 2000.0, 10.0
 START, END = 0, 1
 #: Steps of an octave in the 8-bit codes; code 0 is absent.
@@ -90,7 +94,9 @@ class Sequence:
         top = int(values[-1]) + 1 if n else 1
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
-        bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low_bits else np.zeros((n, 0), np.uint8)
+        bits = np.empty((n, low_bits), np.uint8)
+        for j in range(low_bits):
+            bits[:, j] = (values >> np.uint64(j)) & np.uint64(1)
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
@@ -116,7 +122,7 @@ def nested(parents: np.ndarray, children: np.ndarray, n_parents: int) -> tuple[S
     """Successors of parents (both sorted, parents first) as one monotone sequence, and pointers to each parent's first."""
     pointers = np.searchsorted(parents, np.arange(n_parents + 1))
     width = int(children.max()) + 1 if len(children) else 1
-    return Sequence.of(parents * width + children), Sequence.of(pointers)
+    return Sequence.of(parents * np.int64(width) + children), Sequence.of(pointers)
 
 
 class Trie:
@@ -131,8 +137,8 @@ class Trie:
     def build(cls, n_words: int, x: np.ndarray, y: np.ndarray, pair_counts: np.ndarray, pair: np.ndarray, z: np.ndarray, counts: np.ndarray) -> Trie:
         """x, y: the pairs in order. pair, z: the triples in order, by the number of their pair."""
         middle = y[pair]
-        follow = np.unique(middle * np.int64(n_words) + z)
-        rank_of = np.searchsorted(follow, middle * np.int64(n_words) + z) - np.searchsorted(follow, middle * np.int64(n_words))
+        follow, place = ranked(middle * np.int64(n_words) + z)
+        rank_of = place - np.searchsorted(follow, np.arange(n_words) * np.int64(n_words))[middle]
         # Ranks rise with z, so that triples stay in order.
         sequences, widths = {}, []
         for (a, b), (parents, children, n) in zip(zip(cls.NAMES[::2], cls.NAMES[1::2], strict=True), ((x, y, n_words), (follow // n_words, follow % n_words, n_words), (pair, rank_of, len(x))), strict=True):
@@ -170,11 +176,15 @@ class Trie:
     def _find(self, level: int, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Position of a successor in its level, -1 if it is none of the parent's (or the parent is -1)."""
         values, width = self.sequences[self.NAMES[2 * level]].values(), self.widths[level]
-        wanted = np.where((parent >= 0) & (child >= 0) & (child < width), parent * width + child, -1)
-        at = np.searchsorted(values, wanted)
-        found = (at < len(values)) & (wanted >= 0)
-        found[found] = values[at[found]] == wanted[found]
-        return np.where(found, at, -1)
+        wanted = parent * np.int64(width) + child
+        wanted[(parent < 0) | (child < 0) | (child >= width)] = -1
+        at = np.searchsorted(values, wanted).astype(np.int32)
+        wanted[at == len(values)] = -1
+        there = np.flatnonzero(wanted >= 0)
+        there = there[values[at[there]] == wanted[there]]
+        out = np.full(len(at), -1, np.int32)
+        out[there] = at[there]
+        return out
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return self._find(0, x, y)
@@ -204,28 +214,31 @@ class Block:
         """sequence: word numbers, END after each text. small: 16 bits of each word's hash, by which pairs are dealt."""
         n = len(sequence)
         self.sequence, self.begins = sequence, np.cumsum(lengths) - lengths
-        before = np.empty(n, np.int64)
-        before[1:] = sequence[:-1]
-        before[self.begins] = START
         keys = np.empty(n + 1, np.int64)
         keys[0] = START << 32 | START
-        keys[1:] = before << 32 | sequence
-        self.pairs, inverse = np.unique(keys, return_inverse=True)
-        self.pair_of = inverse[1:]
-        context = np.empty(n, np.int64)
-        context[1:] = self.pair_of[:-1]
-        context[self.begins] = inverse[0]
-        self.start_pair = int(inverse[0])
-        self.triples, self.triple_of = np.unique(context << 32 | sequence, return_inverse=True)
-        x, y = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        mixed = small[x].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ small[y].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys[2:] = sequence[:-1]
+        keys[1:][self.begins] = START
+        keys[1:] <<= 32
+        keys[1:] |= sequence
+        self.pairs, self.pair_of = ranked(keys)
+        self.start_pair = int(self.pair_of[0])
+        self.pair_of = self.pair_of[1:]
+        keys = keys[:-1]
+        keys[1:] = self.pair_of[:-1]
+        keys[self.begins] = self.start_pair
+        keys <<= 32
+        keys |= sequence
+        self.triples, self.triple_of = ranked(keys)
+        del keys
+        mixed = small[self.pairs >> 32].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ small[self.pairs & 0xFFFFFFFF].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         dealt = ((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(shards)).astype(np.uint16 if shards < 65536 else np.uint32)
+        del mixed
         self.pair_order, self.pair_starts = self._dealt(dealt, shards)
         self.triple_order, self.triple_starts = self._dealt(dealt[self.triples >> 32], shards)
 
     @staticmethod
     def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+        return np.argsort(shard, kind="stable").astype(np.uint32), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
     def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the shard's pairs and triples."""
@@ -233,39 +246,73 @@ class Block:
         return part(self.pair_order, self.pair_starts), part(self.triple_order, self.triple_starts)
 
 
-def ask(texts: list[bytes], keys: list, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, request) for each shard, and (-1, what the block needs to read the answers)."""
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's number among them."""
+    order = np.argsort(keys).astype(np.uint32)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], number
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
     import xxhash
 
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(w, 3) for w in words), np.uint64, len(words))
+
+
+#: No word holds a space.
+MARKS = [b"\x20start", b"\x20end"]
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of the texts with END after each, their lengths, and the words' hashes; frequent words have small numbers."""
     numbers: dict[bytes, int] = {}
     lengths = np.empty(len(texts), np.int64)
     parts = []
     for i, text in enumerate(texts):
         words = text.lower().split()
-        for w in set(words).difference(numbers):
-            numbers[w] = len(numbers) + 2
-        ids = np.empty(len(words) + 1, np.int64)
-        ids[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if new := set(words).difference(numbers):
+            numbers.update(zip(new, range(len(numbers) + 2, len(numbers) + 2 + len(new)), strict=True))
+        ids = np.empty(len(words) + 1, np.int32)
+        ids[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         ids[-1] = END
         lengths[i] = len(ids)
         parts.append(ids)
-    sequence = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(w, 3) for w in (b"\x20start", b"\x20end", *numbers)), np.uint64, len(numbers) + 2)  # no word holds a space
+    sequence = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    hashes = hashed([*MARKS, *numbers])
+    del numbers, parts
+    order = np.argsort(-np.bincount(sequence, minlength=len(hashes))[2:], kind="stable") + 2
+    place = np.arange(len(hashes), dtype=np.int32)
+    place[order] = np.arange(2, len(hashes), dtype=np.int32)
+    return place[sequence], lengths, np.concatenate([hashes[:2], hashes[order]])
+
+
+def ask(texts: list[bytes], keys: list, train: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, request) for each shard, and (-1, what the block needs to read the answers)."""
+    sequence, lengths, hashes = numbered(texts)
     small = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
     block = Block(sequence, lengths, small, shards)
     trained = np.repeat(train, lengths)
-    c1 = np.bincount(sequence[trained], minlength=len(hashes))
+    c1 = np.bincount(sequence[trained], minlength=len(hashes)).astype(np.uint32)
     c1[START] = int(train.sum())
-    c2 = np.bincount(block.pair_of[trained], minlength=len(block.pairs))
-    c2[block.start_pair] += int(train.sum())
-    c3 = np.bincount(block.triple_of[trained], minlength=len(block.triples))
-    owner = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    word_order = np.argsort(owner, kind="stable")
-    word_starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=shards))])
-    yield -1, squeeze(sequence.astype(np.uint32), lengths, small, word_order.astype(np.uint32), train.astype(np.uint8), np.frombuffer(pickle.dumps(keys), np.uint8))
+    c2 = np.bincount(block.pair_of[trained], minlength=len(block.pairs)).astype(np.uint32)
+    c2[block.start_pair] += np.uint32(train.sum())
+    c3 = np.bincount(block.triple_of[trained], minlength=len(block.triples)).astype(np.uint32)
+    del block.pair_of, block.triple_of
+    owner = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.uint16 if shards < 65536 else np.uint32)
+    yield -1, squeeze(sequence.astype(np.uint32), lengths, small, owner, train.astype(np.uint8), np.frombuffer(pickle.dumps(keys), np.uint8))
     short = (hashes >> np.uint64(24)).astype(np.int64)
-    used, rank, place = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.zeros(len(block.pairs), np.int64)
+    used, rank, place = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.uint32), np.zeros(len(block.pairs), np.uint32)
+    steps = lambda a: np.diff(a.astype(np.int64), prepend=0).astype(np.uint32)  # noqa: E731  of numbers in order
     for shard in range(shards):
         pairs, triples = block.of(shard)
         x, y = block.pairs[pairs] >> 32, block.pairs[pairs] & 0xFFFFFFFF
@@ -274,85 +321,93 @@ def ask(texts: list[bytes], keys: list, train: np.ndarray, shards: int) -> Itera
         used[x], used[y], used[z] = True, True, True
         words = np.flatnonzero(used)
         used[words] = False
-        words = words[np.argsort(short[words], kind="stable")]
         rank[words] = np.arange(len(words))
-        own = word_order[word_starts[shard] : word_starts[shard + 1]]
-        narrow = lambda a: a.astype(np.uint32)
-        yield shard, squeeze(np.diff(short[words], prepend=0), narrow(np.diff(rank[x], prepend=0)), narrow(rank[y]), narrow(np.diff(of, prepend=0)), narrow(rank[z]), narrow(c2[pairs]), narrow(c3[triples]), hashes[own], c1[own].astype(np.int64))
+        own = np.flatnonzero(owner == shard)
+        yield shard, squeeze(short[words], steps(rank[x]), rank[y], steps(of), rank[z], c2[pairs], c3[triples], hashes[own], c1[own])
 
 
-def answer(requests: list[bytes]) -> tuple[list[bytes], int, int]:
-    """Answers to the requests of one shard, and its part of the training tokens and of the distinct training words."""
-    import xxhash
-
-    read = [unsqueeze(r) for r in requests]
-    words = [np.cumsum(r[0]) for r in read]
-    every = np.unique(np.concatenate(words))
-    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    number = [np.searchsorted(every, w) for w in words]
-    xs = cat([m[np.cumsum(r[1].view(np.int32), dtype=np.int64)] for m, r in zip(number, read, strict=True)])
-    ys = cat([m[r[2].astype(np.int64)] for m, r in zip(number, read, strict=True)])
-    zs = cat([m[r[4].astype(np.int64)] for m, r in zip(number, read, strict=True)])
-    offsets = np.cumsum([0, *(len(r[1]) for r in read)])
-    of = cat([np.cumsum(r[3].view(np.int32), dtype=np.int64) + o for r, o in zip(read, offsets, strict=False)])
-    pairs, pair_of = np.unique(xs << 32 | ys, return_inverse=True)
-    del xs, ys
-    c2 = summed(pair_of, cat([r[5] for r in read]), len(pairs))
-    triples, triple_of = np.unique(pair_of[of] << 32 | zs, return_inverse=True)
-    del of, zs
-    c3 = summed(triple_of, cat([r[6] for r in read]), len(triples))
-    x, y, owner, z = pairs >> 32, pairs & 0xFFFFFFFF, triples >> 32, triples & 0xFFFFFFFF
+def looked_up(pairs: np.ndarray, counts: np.ndarray, owners: np.ndarray, z: np.ndarray, triple_counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of pairs and triples (repeats among them) by a trie of those that were counted. owners: each triple's place in pairs."""
+    pairs, pair_of = ranked(pairs)
+    triples, triple_of = ranked(np.left_shift(pair_of[owners], 32, dtype=np.int64) | z)
+    c2, c3 = summed(pair_of, counts, len(pairs)), summed(triple_of, triple_counts, len(triples))
     kept, held = c2 > 0, c3 > 0
-    number_of = np.cumsum(kept) - 1
-    trie = Trie.build(len(every), x[kept], y[kept], c2[kept], number_of[owner[held]], z[held], c3[held])
+    own = pairs[kept]
+    number_of = np.cumsum(kept, dtype=np.int32) - 1
+    trie = Trie.build(n_words, own >> 32, own & 0xFFFFFFFF, c2[kept], number_of[triples[held] >> 32], triples[held] & 0xFFFFFFFF, c3[held])
+    del own, c2, c3, kept, held, number_of
     handle, path = tempfile.mkstemp(suffix=".trie")
     os.close(handle)
     try:
         trie.save(path)
         trie = Trie.load(path)
-        found = trie.pairs(x, y)
+        y = (pairs & 0xFFFFFFFF).astype(np.int32)
+        found = trie.pairs(pairs >> 32, y)
         pair_codes = trie.codes(found, trie.pair_codes)[pair_of]
-        triple_codes = trie.codes(trie.triples(found[owner], y[owner], z), trie.triple_codes)[triple_of]
+        owner = (triples >> 32).astype(np.int32)
+        triple_codes = trie.codes(trie.triples(found[owner], y[owner], triples & 0xFFFFFFFF), trie.triple_codes)[triple_of]
         del trie
     finally:
         os.remove(path)
-    single, single_of = np.unique(cat([r[7] for r in read]), return_inverse=True)
-    c1 = summed(single_of, cat([r[8] for r in read]), len(single))
-    real = single != np.uint64(xxhash.xxh64_intdigest(b"\x20start", 3))
+    return pair_codes, triple_codes
+
+
+def answer(requests: list[bytes]) -> list[bytes]:
+    """Answers to the requests of one shard, in their order. Pairs are taken in portions, with the triples that begin with them, each with a trie of its own."""
+    read = [unsqueeze(r) for r in requests]
+    sizes = [(len(r[1]), len(r[3]), len(r[7])) for r in read]
+    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    take = lambda i: [r.pop(i) for r in read]  # noqa: E731  the arrays are large: each is dropped once used
+    words = take(0)
+    every = distinct(np.concatenate(words))
+    number = [np.searchsorted(every, w).astype(np.uint32) for w in words]
+    del words
+    x = cat([m[np.cumsum(a, dtype=np.int64)] for m, a in zip(number, take(0), strict=True)])
+    y = cat([m[a] for m, a in zip(number, take(0), strict=True)])
+    offsets = np.cumsum([0, *(a for a, _, _ in sizes)])
+    owner = cat([(np.cumsum(a, dtype=np.int64) + o).astype(np.uint32) for a, o in zip(take(0), offsets[:-1], strict=True)])
+    z = cat([m[a] for m, a in zip(number, take(0), strict=True)])
+    c2, c3 = cat(take(0)), cat(take(0))
+    pair_codes, triple_codes = np.zeros(len(x), np.uint8), np.zeros(len(z), np.uint8)
+    portions = np.uint32(max(1, -(-len(z) // PORTION)))
+    portion = ((x * np.uint32(0x9E3779B1) ^ y * np.uint32(0x85EBCA6B)) >> np.uint32(16)) % portions
+    of_triple = portion[owner]
+    place = np.zeros(len(x), np.uint32)
+    for k in range(int(portions)):
+        pairs, triples = np.flatnonzero(portion == k), np.flatnonzero(of_triple == k)
+        place[pairs] = np.arange(len(pairs))
+        pair_codes[pairs], triple_codes[triples] = looked_up(np.left_shift(x[pairs], 32, dtype=np.int64) | y[pairs], c2[pairs], place[owner[triples]], z[triples], c3[triples], len(every))
+    single, single_of = ranked(cat(take(0)))
+    c1 = summed(single_of, cat(take(0)), len(single))
     out, p, t, s = [], 0, 0, 0
-    for r in read:
-        a, b, c = len(r[1]), len(r[3]), len(r[7])
+    for a, b, c in sizes:
         out.append(squeeze(pair_codes[p : p + a], triple_codes[t : t + b], c1[single_of[s : s + c]]))
         p, t, s = p + a, t + b, s + c
-    return out, int(c1[real].sum()), int((c1[real] > 0).sum())
+    return out
 
 
 def score(needs: bytes, answers: dict[int, bytes], shards: int, n: int, v: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, split, tokens, known tokens, base and model scores of a block's texts."""
-    sequence, lengths, small, word_order, train, keys = unsqueeze(needs)
+    sequence, lengths, small, owner, train, keys = unsqueeze(needs)
     keys = pickle.loads(keys.tobytes())
     if not len(sequence):
         return keys, train, lengths, lengths, lengths * 0.0, lengths * 0.0
-    sequence = sequence.astype(np.int64)
+    sequence = sequence.astype(np.int32)
     block = Block(sequence, lengths, small, shards)
     c1, pair_codes, triple_codes = np.zeros(len(small), np.int64), np.zeros(len(block.pairs), np.uint8), np.zeros(len(block.triples), np.uint8)
-    at = 0
     for shard in range(shards):
         pairs, triples = block.of(shard)
-        a, b, c = unsqueeze(answers[shard])
-        pair_codes[pairs], triple_codes[triples] = a, b
-        c1[word_order[at : at + len(c)]] = c
-        at += len(c)
+        pair_codes[pairs], triple_codes[triples], c1[owner == shard] = unsqueeze(answers.pop(shard))
     p1 = (c1 + 1) / (n + v + 1)
     x, y = block.pairs >> 32, block.pairs & 0xFFFFFFFF
     c2 = decoded(pair_codes)
     p2 = (np.minimum(c2, np.maximum(c1[x], 0)) + U2 * p1[y]) / (c1[x] + U2)
-    context, z = block.triples >> 32, block.triples & 0xFFFFFFFF
+    context = block.triples >> 32
     head = np.zeros(len(triple_codes))
     there = triple_codes > 0
     head[there] = 1 / decoded(triple_codes[there])
-    # The pair y z of each triple, found among the block's pairs.
-    tail = np.searchsorted(block.pairs, y[context] << 32 | z)
+    tail = np.empty(len(head), np.int32)  # the pair y z of each triple
+    tail[block.triple_of] = block.pair_of
     logs = np.log10(head + U3 / (c2[context] + U3) * p2[tail])
     each = logs[block.triple_of]
     base = np.log10(p1)[sequence]
@@ -360,6 +415,35 @@ def score(needs: bytes, answers: dict[int, bytes], shards: int, n: int, v: int)
     return keys, train, lengths, add((c1[sequence] > 0).astype(np.int64)), add(base), add(each)
 
 
+def size(texts: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens (words and the end) of texts(t)."""
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found, least = 0, set(), []
+        for table in blocks(batches, "t", 4 << 20):
+            for text in raw(table.column("t")):
+                words = text.lower().split()
+                n += len(words) + 1
+                found.update(words)
+            if len(found) > 300_000:
+                least, found = [*least, hashed(list(found))], set()
+        whole = distinct(np.concatenate([*least, hashed([MARKS[1], *found] if n else [])]))
+        part = (whole >> np.uint64(20)) % np.uint64(PARTS)
+        order = np.argsort(part, kind="stable")
+        starts = np.searchsorted(part[order], np.arange(PARTS + 1))
+        rows = [(i, whole[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), pa.array([n if j == 0 else 0 for j in range(len(rows))], pa.int64())], ["part", "hashes", "n"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(0, np.uint64)
+        for data in rows["hashes"]:
+            seen = np.union1d(seen, np.frombuffer(data, np.uint64))
+        return pd.DataFrame({"n": [int(rows["n"].sum())], "v": [len(seen)]})
+
+    found = texts.mapInArrow(counting, "part int, hashes binary, n long").groupBy("part").applyInPandas(count, "n long, v long")
+    return tuple(found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+
+
 def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, trained, n_tokens, n_known, train_tokens, base_score and score of each of docs' rows; learned from those for which train holds."""
     spark = docs.sparkSession
@@ -379,21 +463,19 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
 
     def answering(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="home")
-        if rows["shard"].iloc[0] < 0:
-            return rows.assign(n=0, v=0)
-        data, n, v = answer(list(rows["data"]))
-        return rows.assign(data=data, n=[n, *[0] * (len(rows) - 1)], v=[v, *[0] * (len(rows) - 1)])
+        return rows if rows["shard"].iloc[0] < 0 else rows.assign(data=answer(list(rows["data"])))
 
-    asked = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), train.alias("train")).mapInArrow(asking, "home long, block string, shard int, data binary")
-    answered = cut(spark, asked.groupBy("home").applyInPandas(answering, "block string, shard int, data binary, n long, v long"))
-    n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), train.alias("train"))
+    n, v = size(source.where("train").select("t"))
+    asked = source.mapInArrow(asking, "home long, block string, shard int, data binary")
+    answered = asked.groupBy("home").applyInPandas(answering, "block string, shard int, data binary")
 
     def scoring(rows: pd.DataFrame) -> pd.DataFrame:
         by = dict(zip(rows["shard"], rows["data"], strict=True))
         keys, trained, tokens, known, base, model = score(by.pop(-1), by, shards, n, v)
         return pd.DataFrame({"k": pd.Series(keys, dtype="object"), "trained": trained.astype(bool), "n_tokens": tokens, "n_known": known, "train_tokens": n, "base_score": base, "score": model})
 
-    out = answered.select("block", "shard", "data").groupBy("block").applyInPandas(scoring, f"k {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = answered.groupBy("block").applyInPandas(scoring, f"k {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("k", key)
 
 
