@@ -42,22 +42,33 @@ def prf(key: str, kind: str, turn: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 15), 16, 10).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mix(values: Column, sizes: Column, key: str, kind: str) -> Column:
     """Permutes arrays of numbers, values[i] below sizes[i]: halves take turns to be shifted by what the other one says."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    part = lambda a, first: F.slice(a, 1, half) if first else F.slice(a, half + 1, F.size(a) - half)
 
     def shifted(side: Column, other: Column, radix: Column, turn: Column) -> Column:
-        whole = F.concat_ws(",", other.cast("array<string>"))
-        return F.zip_with(F.zip_with(side, radix, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), F.sequence(F.lit(1), F.greatest(F.size(side), F.lit(1))), lambda x, i: F.pmod(x["x"] + F.pmod(prf(key, kind, turn, i, whole), x["r"]), x["r"]))
+        pairs = F.arrays_zip(side.alias("x"), radix.alias("r"))
+        move = lambda p, i, whole: F.pmod(p["x"] + F.pmod(prf(key, kind, turn, i, whole), p["r"]), p["r"])
+        return let(F.concat_ws(",", other.cast("array<string>")), lambda whole: F.transform(pairs, lambda p, i: move(p, i, whole)))
 
-    def step(s: Column, turn: Column) -> Column:
-        left = F.when((turn % 2 == 0) & (F.size(s["l"]) > 0), shifted(s["l"], s["r"], part(sizes, True), turn)).otherwise(s["l"])
-        right = F.when(turn % 2 == 1, shifted(s["r"], s["l"], part(sizes, False), turn)).otherwise(s["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
+    def run(given: Column) -> Column:
+        half = F.floor(F.size(given["v"]) / 2).cast("int")
+        split = lambda a, name: (F.slice(a, 1, half).alias(f"{name}l"), F.slice(a, half + 1, F.size(a) - half).alias(f"{name}r"))
+        return let(F.struct(*split(given["v"], "v"), *split(given["s"], "s")), halves)
+
+    def halves(g: Column) -> Column:
+        def step(s: Column, turn: Column) -> Column:
+            left = F.when(turn % 2 == 0, shifted(s["l"], s["r"], g["sl"], turn)).otherwise(s["l"])
+            right = F.when(turn % 2 == 1, shifted(s["r"], s["l"], g["sr"], turn)).otherwise(s["r"])
+            return F.struct(left.alias("l"), right.alias("r"))
 
-    start = F.struct(part(values, True).alias("l"), part(values, False).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(g["vl"].alias("l"), g["vr"].alias("r")), step, lambda s: F.concat(s["l"], s["r"]))
+
+    return let(F.struct(values.alias("v"), sizes.alias("s")), run)
 
 
 def permute(number: Column, n: int, key: str, kind: str) -> Column:
@@ -72,8 +83,9 @@ def permute(number: Column, n: int, key: str, kind: str) -> Column:
         start = F.struct(F.floor(x / base).cast("long").alias("a"), F.pmod(x, F.lit(base)).cast("long").alias("b"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["a"] * base + s["b"])
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(number.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+    ended = lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    return let(number.cast("long"), lambda x: let(walk(x), ended))
 
 
 def chars(text: Column) -> Column:
@@ -82,8 +94,8 @@ def chars(text: Column) -> Column:
 
 def refill(text: Column, digits: Column) -> Column:
     """The text with its digits, in order, replaced by those of an array."""
-    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["t"], F.element_at(digits, s["n"] + 1).cast("string")).alias("t"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n")))
-    return F.aggregate(chars(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), step, lambda s: s["t"])
+    step = lambda s, c, d: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["t"], F.element_at(d, s["n"] + 1).cast("string")).alias("t"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n")))
+    return let(digits, lambda d: F.aggregate(chars(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), lambda s, c: step(s, c, d), lambda s: s["t"]))
 
 
 def digits(text: Column) -> Column:
@@ -101,11 +113,12 @@ def luhn(values: Column) -> Column:
 
 
 def card(text: Column, key: str) -> Column:
-    d = digits(text)
-    inner = F.slice(d, 2, F.size(d) - 2)
-    body = F.concat(F.slice(d, 1, 1), mix(inner, same(inner, 10), key, "card"))
-    check = F.pmod(-luhn(F.concat(body, F.array(F.lit(0).cast("long")))), F.lit(10)).cast("long")
-    return F.when(F.pmod(luhn(d), F.lit(10)) == 0, refill(text, F.concat(body, F.array(check))))
+    def made(d: Column) -> Column:
+        inner = let(F.slice(d, 2, F.size(d) - 2), lambda x: mix(x, same(x, 10), key, "card"))
+        checked = lambda body: refill(text, F.concat(body, F.array(F.pmod(-luhn(F.concat(body, F.array(F.lit(0).cast("long")))), F.lit(10)).cast("long"))))
+        return F.when(F.pmod(luhn(d), F.lit(10)) == 0, let(F.concat(F.slice(d, 1, 1), inner), checked))
+
+    return let(digits(text), made)
 
 
 def value(c: Column) -> Column:
@@ -120,20 +133,23 @@ def remainder97(c: Column) -> Column:
 def recast(c: Column, key: str, kind: str) -> Column:
     """Permutes an array of characters: digits, capital and small letters among their like, others stay."""
     base = lambda x: F.when(x.rlike("[0-9]"), 48).when(x.rlike("[A-Z]"), 65).when(x.rlike("[a-z]"), 97).otherwise(F.ascii(x)).cast("long")
-    size = F.transform(c, lambda x: F.when(x.rlike("[0-9]"), 10).when(x.rlike("[A-Za-z]"), 26).otherwise(1).cast("long"))
-    moved = mix(F.transform(c, lambda x: F.ascii(x) - base(x)), size, key, kind)
-    return F.zip_with(c, moved, lambda x, m: F.char(base(x) + m))
+    size = lambda x: F.when(x.rlike("[0-9]"), 10).when(x.rlike("[A-Za-z]"), 26).otherwise(1).cast("long")
+    own = F.transform(c, lambda x: F.struct(base(x).alias("b"), (F.ascii(x) - base(x)).alias("v"), size(x).alias("s")))
+    return let(own, lambda o: F.zip_with(o, mix(o["v"], o["s"], key, kind), lambda x, m: F.char(x["b"] + m)))
 
 
 def iban(text: Column, key: str) -> Column:
-    plain = chars(F.regexp_replace(text, " ", ""))
-    country, body = F.slice(plain, 1, 2), F.slice(plain, 5, F.greatest(F.size(plain) - 4, F.lit(0)))
-    moved = recast(body, key, "iban")
-    check = chars(F.lpad((98 - remainder97(F.concat(moved, country, F.array(F.lit("0"), F.lit("0"))))).cast("string"), 2, "0"))
-    made = F.concat(country, check, moved)
-    step = lambda s, c: F.when(c == " ", F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n"))).otherwise(F.struct(F.concat(s["t"], F.element_at(made, s["n"] + 1)).alias("t"), (s["n"] + 1).alias("n")))
-    spaced = F.aggregate(chars(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), step, lambda s: s["t"])
-    return F.when(F.size(plain).between(15, 34) & (remainder97(F.concat(body, F.slice(plain, 1, 4))) == 1), spaced)
+    def spaced(made: Column) -> Column:
+        step = lambda s, c: F.when(c == " ", F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n"))).otherwise(F.struct(F.concat(s["t"], F.element_at(made, s["n"] + 1)).alias("t"), (s["n"] + 1).alias("n")))
+        return F.aggregate(chars(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), step, lambda s: s["t"])
+
+    def made(plain: Column) -> Column:
+        country, body = F.slice(plain, 1, 2), F.slice(plain, 5, F.greatest(F.size(plain) - 4, F.lit(0)))
+        check = lambda moved: chars(F.lpad((98 - remainder97(F.concat(moved, country, F.array(F.lit("0"), F.lit("0"))))).cast("string"), 2, "0"))
+        valid = F.size(plain).between(15, 34) & (remainder97(F.concat(body, F.slice(plain, 1, 4))) == 1)
+        return F.when(valid, let(recast(body, key, "iban"), lambda moved: let(F.concat(country, check(moved), moved), spaced)))
+
+    return let(chars(F.regexp_replace(text, " ", "")), made)
 
 
 def email(text: Column, key: str) -> Column:
@@ -143,43 +159,60 @@ def email(text: Column, key: str) -> Column:
 
 def ip(text: Column, key: str) -> Column:
     octets = F.transform(F.split(text, r"\."), lambda x: x.cast("long"))
-    return F.when(F.forall(octets, lambda x: x < 256), F.array_join(mix(octets, same(octets, 256), key, "ip").cast("array<string>"), "."))
+    return let(octets, lambda o: F.when(F.forall(o, lambda x: x < 256), F.array_join(mix(o, same(o, 256), key, "ip").cast("array<string>"), ".")))
 
 
 def phone(text: Column, key: str) -> Column:
-    d = digits(text)
-    own = F.slice(d, F.size(d) - 9, 10)  # without the country's 1
-    lowest = F.transform(own, lambda x, i: F.when((i == 0) | (i == 3), 2).otherwise(0).cast("long"))
-    moved = mix(F.zip_with(own, lowest, lambda x, low: x - low), F.transform(lowest, lambda low: 10 - low), key, "phone")
-    return refill(text, F.concat(F.slice(d, 1, F.size(d) - 10), F.zip_with(moved, lowest, lambda x, low: x + low)))
+    """The country's 1, if there, stays; the area and the exchange begin with 2 to 9."""
+    lowest = lambda i: F.when((i == 0) | (i == 3), 2).otherwise(0).cast("long")
+
+    def made(d: Column) -> Column:
+        own = F.slice(d, F.size(d) - 9, 10)
+        moved = mix(F.transform(own, lambda x, i: x - lowest(i)), F.transform(own, lambda _, i: 10 - lowest(i)), key, "phone")
+        return refill(text, F.concat(F.slice(d, 1, F.size(d) - 10), F.transform(moved, lambda x, i: x + lowest(i))))
+
+    return let(digits(text), made)
 
 
 def ssn(text: Column, key: str) -> Column:
-    area, group, serial = (F.split(text, "-")[i].cast("long") for i in range(3))
-    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
-    rank = F.when(area > 666, area - 2).otherwise(area - 1)
-    moved = permute((rank * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn")
-    new = F.floor(moved / (99 * 9999)) + 1
-    return F.when(valid, F.format_string("%03d-%02d-%04d", F.when(new >= 666, new + 1).otherwise(new), F.pmod(F.floor(moved / 9999), F.lit(99)) + 1, F.pmod(moved, F.lit(9999)) + 1))
+    def made(p: Column) -> Column:
+        area, group, serial = p[0], p[1], p[2]
+        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+        number = (F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1) * 9999 + serial - 1
+        return F.when(valid, let(permute(number, 898 * 99 * 9999, key, "ssn"), written))
+
+    def written(moved: Column) -> Column:
+        new = F.floor(moved / (99 * 9999)) + 1
+        return F.format_string("%03d-%02d-%04d", F.when(new >= 666, new + 1).otherwise(new), F.pmod(F.floor(moved / 9999), F.lit(99)) + 1, F.pmod(moved, F.lit(9999)) + 1)
+
+    return let(F.transform(F.split(text, "-"), lambda x: x.cast("long")), made)
 
 
 def date(text: Column, key: str) -> Column:
     """Year first, or day first with dots, or month first with slashes; equal days give equal days in all of them."""
-    form = F.when(text.rlike("^.{4}-"), "yyyy-MM-dd").when(text.rlike("^.{4}/"), "yyyy/MM/dd").when(text.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
     part = lambda a, b, c: F.concat_ws("-", F.substring(text, *a), F.substring(text, *b), F.substring(text, *c))
-    iso = F.when(form.startswith("yyyy"), part((1, 4), (6, 2), (9, 2))).when(form == "dd.MM.yyyy", part((7, 4), (4, 2), (1, 2))).otherwise(part((7, 4), (1, 2), (4, 2)))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY)))
-    moved = F.date_add(F.to_date(F.lit(FIRST_DAY)), permute(day, DAYS, key, "date").cast("int"))
-    return F.when(day.between(0, DAYS - 1), F.when(form == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(form == "yyyy/MM/dd", F.date_format(moved, "yyyy/MM/dd")).when(form == "dd.MM.yyyy", F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy")))
+    first, dots = text.rlike("^.{4}[-/]"), text.contains(".")
+    iso = F.when(first, part((1, 4), (6, 2), (9, 2))).when(dots, part((7, 4), (4, 2), (1, 2))).otherwise(part((7, 4), (1, 2), (4, 2)))
+    start = F.to_date(F.lit(FIRST_DAY))
+
+    def written(d: Column) -> Column:
+        y, m, day = F.substring(d, 1, 4), F.substring(d, 6, 2), F.substring(d, 9, 2)
+        return F.when(text.contains("-"), d).when(first, F.concat_ws("/", y, m, day)).when(dots, F.concat_ws(".", day, m, y)).otherwise(F.concat_ws("/", m, day, y))
+
+    moved = lambda n: F.when(n.between(0, DAYS - 1), let(F.date_add(start, permute(n, DAYS, key, "date").cast("int")).cast("string"), written))
+    return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start), moved)
 
 
 MAKERS = {"email": (EMAIL, email), "iban": (IBAN, iban), "date": (DATE, date), "ssn": (SSN, ssn), "ip": (IP, ip), "phone": (PHONE, phone), "card": (CARD, card)}
 
 
 def pseudonym(text: Column, key: str) -> Column:
-    """kind and value of the pseudonym; both null if no check holds."""
-    tried = [F.when(text.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), make(text, key).alias("value"))) for kind, (pattern, make) in MAKERS.items()]
-    return F.coalesce(*(F.when(x["value"].isNotNull(), x) for x in tried), F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value")))
+    """kind and value of the pseudonym; both null if the check does not hold. No value fits two of the patterns."""
+    made = None
+    for kind, (pattern, make) in MAKERS.items():
+        fits, one = text.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), make(text, key).alias("value"))
+        made = F.when(fits, one) if made is None else made.when(fits, one)
+    return let(made, lambda x: F.when(x["value"].isNotNull(), x))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
