@@ -51,17 +51,20 @@ def normalize(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(words: Column, n: int = 4) -> Column:
     """Distinct runs of n words, joined by spaces; of fewer words, the run there is."""
-    return F.when(F.size(words) <= n, F.array(F.array_join(words, " "))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    )
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(words, lambda w: F.when(F.size(w) <= n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs(w))))
 
 
 def bigrams(words: Column) -> Column:
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    )
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return let(words, lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(pairs(w)))
 
 
 def short_hash(*parts: Column, length: int = 16) -> Column:

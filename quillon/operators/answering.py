@@ -41,3 +41,19 @@ def verdict(coverage: Column, missing_numbers: Column, cited: Column, cited_cove
         .when(cited & (cited_coverage < PARTIAL), "misattributed")
         .otherwise("supported")
     )
+
+
+def claim_verdict(coverage: Column, n_missing: Column) -> Column:
+    """A claim with a number that the evidence lacks is never even partly right."""
+    return F.when((n_missing > 0) | (coverage < PARTIAL), "unsupported").when(coverage >= SUPPORTED, "supported").otherwise("partial")
+
+
+def rollup(claims):
+    """One row of rates from claims(verdict, cited, cited_ok)."""
+    is_ = lambda v: (F.col("verdict") == v).cast("int")
+    rate = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return claims.agg(
+        rate(is_("supported"), "faithfulness"), rate(is_("supported") + is_("partial") * 0.5, "soft"),
+        rate(F.when(F.col("cited"), F.col("cited_ok").cast("int")), "citation_accuracy"),
+        rate(F.col("cited").cast("int"), "citation_coverage"), rate(is_("unsupported"), "hallucination"),
+    )

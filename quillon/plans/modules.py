@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search", "maintain")
+NAMES: tuple[str, ...] = ("search", "maintain", "textual")
 
 
 def load() -> None:
