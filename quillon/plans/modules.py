@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search", "maintain", "textual")
+NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs")
 
 
 def load() -> None:
