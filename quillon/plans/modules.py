@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs")
+NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs", "documents")
 
 
 def load() -> None:
