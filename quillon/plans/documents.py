@@ -10,6 +10,7 @@ from quillon.catalogue import register
 from quillon.operators import communities, context, language, questions
 from quillon.operators import retrieval as R
 from quillon.plans.common import table
+from quillon.sharing import Shared
 from quillon.sources import html
 
 
@@ -65,11 +66,11 @@ ALIASES = [("OpenAI", "openai", "ORGANIZATION"), ("Apache", "apache", "ORGANIZAT
 @register("mentions")
 def mentions(spark, sf_dir):
     """Names of a bounded gazetteer in all documents."""
-    names = spark.sparkContext.broadcast(language.Gazetteer(ALIASES))
+    names = Shared(spark, language.Gazetteer(ALIASES))
 
     @F.pandas_udf("array<struct<entity:string,type:string,begin:int,end:int>>")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("entity", "type", "begin", "end"), m, strict=True)) for m in names.value.mentions(t or "")])
+        return texts.map(lambda t: [dict(zip(("entity", "type", "begin", "end"), m, strict=True)) for m in names.value().mentions(t or "")])
 
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(find("text")).alias("m"))
     return found.select("doc_id", "m.entity", "m.begin", "m.end")
