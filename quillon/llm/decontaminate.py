@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blocks, documents, raw
+from quillon.sharing import Shared
 
 WINDOW = 10
 SLICE = 1_000_000
@@ -158,11 +159,11 @@ def suites(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, key:
     for row in benchmark.select(F.col(key).cast("string"), F.encode(text, "UTF-8")).toLocalIterator():
         found = words(bytes(row[1] or b""))
         if held and size + len(found) > SLICE:
-            out.append(spark.sparkContext.broadcast(Suite(held, window)))
+            out.append(Shared(spark, Suite(held, window)))
             held, size = [], 0
         held.append((row[0], found))
         size += len(found)
-    return [*out, spark.sparkContext.broadcast(Suite(held, window))] if held else out
+    return [*out, Shared(spark, Suite(held, window))] if held else out
 
 
 FIELDS = "n_words long, n_hit long, n_items long, items array<string>, longest long, longest_item string, longest_at long, longest_item_at long"
@@ -180,7 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "t"):
             texts = [words(x) for x in raw(table.column("t"))]
-            n_hit, items, longest = search(texts, (b.value for b in tests))
+            n_hit, items, longest = search(texts, (b.value(keep=len(tests) == 1) for b in tests))
             sort = [sorted(x) for x in items]
             columns = [pa.array([len(w) for w in texts], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in sort], pa.int64()), pa.array(sort, pa.list_(pa.string()))]
             columns += [pa.array([x[i] for x in longest], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))]

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut
+from quillon.sharing import Shared
 
 TREES = 12
 #: Points aimed at in a leaf, leaves of a tree at most (they grow beyond), points of the sample for a leaf. The sample never holds more than SAMPLE points.
@@ -145,7 +146,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
     def lifted(v: np.ndarray, norms: np.ndarray) -> np.ndarray:
         return np.concatenate([v, np.sqrt(np.maximum(0, most * most - norms * norms))[:, None]], 1) / most
 
-    shared = spark.sparkContext.broadcast(Forest(lifted(np.stack(rows["v"].to_numpy()), rows["norm"].to_numpy()), leaves, trees))
+    shared = Shared(spark, Forest(lifted(np.stack(rows["v"].to_numpy()), rows["norm"].to_numpy()), leaves, trees))
 
     def flat(column: pa.Array, kind) -> np.ndarray:
         values = column.flatten().to_numpy(zero_copy_only=False)
@@ -155,7 +156,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
         for batch in batches:
             if batch.num_rows:
                 v = flat(batch.column("v"), np.float64)
-                cells = shared.value.place(lifted(v, batch.column("norm").to_numpy())).T.astype(np.int32)
+                cells = shared.value().place(lifted(v, batch.column("norm").to_numpy())).T.astype(np.int32)
                 packed = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (v, cells)]
                 yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("ids"), *packed], ["point", "ids", "v", "cells"])
 
@@ -163,7 +164,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
         for batch in batches:
             if batch.num_rows:
                 v = flat(batch.column("v"), np.float64)
-                cells = [shared.value.search(np.append(x / most, 0.0), visits) for x in v]
+                cells = [shared.value().search(np.append(x / most, 0.0), visits) for x in v]
                 packed = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (v, cells)]
                 yield pa.RecordBatch.from_arrays([batch.column("query"), *packed], ["query", "v", "cells"])
 
