@@ -1,0 +1,293 @@
+"""Results against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from quillon.llm import decontaminate, language_model, langid, neighbours, packing, pseudonyms, registry, secrets, sharding, simhash
+
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+QUERIES = registry.queries()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+
+
+def test_permutation_is_one_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 5, 97, 1000):
+        frame = spark.range(n).select(sharding.permute(F.col("id"), F.lit(n).cast("long"), 7).alias("p"))
+        assert sorted(r.p for r in frame.collect()) == list(range(n))
+    a, b = (sorted(map(tuple, QUERIES["op1_sharding"](spark, SMALL).repartition(k).collect())) for k in (1, 5))
+    assert a == b
+
+
+def test_packing_ids(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    want = {}
+    for key, text in docs:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        for i, begin in enumerate(range(0, len(ids), 2048)):
+            part = ids[begin : begin + 2048]
+            want[key, i] = (begin, len(part), zlib.crc32(part.tobytes()))
+    rows = QUERIES["op2_packing"](spark, SMALL).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    least = sum(r.length for r in rows) / 2048
+    assert len({r.sequence_id for r in rows}) <= math.ceil(least * 1.1)
+
+
+def test_encoder_knows_odd_words():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    texts = ["a\x0bb c\x1cd", "don't O'CLOCK 'S İstanbul ΑΣ", "3.5 ,,, ﬁ <|endoftext|>", "", " \n", "é ́ K å."]
+    for text, ids in zip(texts, encoder.encode_all([t.encode() for t in texts]), strict=True):
+        assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert [i for part in encoder.encode(text.encode()) for i in part] == list(ids)
+
+
+def test_sum_of_squares_places_by_least_sum():
+    sizes = [5, 3, 3, 7, 2, 2, 5, 1, 10, 4]
+    bins, offsets = packing.sum_of_squares(np.array(sizes), 10)
+    fill: dict[int, int] = {}
+    for size, b, at in zip(sizes, bins.tolist(), offsets.tolist(), strict=True):
+        gaps = Counter(10 - f for f in fill.values() if f < 10)
+
+        def after(gap, gaps=gaps, size=size):
+            new = gaps.copy()
+            if gap < 10 or gap in gaps:
+                new[gap] -= 1
+            if gap > size:
+                new[gap - size] += 1
+            return sum(v * v for v in new.values())
+
+        options = [after(g) for g in gaps if g >= size] + [sum(v * v for v in (gaps + Counter({10 - size: size < 10})).values())]
+        before = fill.get(b, 0)
+        chosen = after(10 - before) if b in fill else options[-1]
+        assert chosen == min(options) and at == before
+        fill[b] = before + size
+
+
+def test_language_model_against_counts(spark, docs):
+    rows = {r.doc_id: r for r in QUERIES["op3_lm_scoring"](spark, SMALL).collect()}
+    texts = {k: [*t.encode().lower().split(), b" e"] for k, t in docs}
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for k, words in texts.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            whole = [b" s", b" s", *words]
+            c1.update([b" s", *words])
+            c2.update(zip(whole, whole[1:]))
+            c3.update(zip(whole, whole[1:], whole[2:]))
+    n, v = sum(c1.values()) - c1[b" s"], len(c1) - 1
+    for k, words in texts.items():
+        base = score = 0.0
+        whole = [b" s", b" s", *words]
+        for a, b, c in zip(whole, whole[1:], whole[2:]):
+            p1 = (c1[c] + 1) / (n + v + 1)
+            p2 = (c2[b, c] + language_model.U2 * p1) / (c1[b] + language_model.U2)
+            base += math.log10(p1)
+            score += math.log10((c3[a, b, c] + language_model.U3 * p2) / (c2[a, b] + language_model.U3))
+        r = rows[k]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 7 == 2, len(words), sum(c1[w] > 0 for w in words), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base)
+        assert abs(r.score - score) < 0.03 * len(words)  # probabilities are kept in 8 bits
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 5), (1000, 3000), (500, 10**9)):
+        values = np.sort(rng.integers(0, top, n))
+        assert (language_model.Sequence.of(values).values() == values).all()
+    arrays = [rng.integers(0, 9, 50).astype(np.uint8), np.arange(7, dtype=np.int64), np.zeros(0, np.uint32)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, language_model.unsqueeze(language_model.squeeze(*arrays)), strict=True))
+
+
+def test_trie_finds_what_was_counted(tmp_path):
+    x, y = np.array([0, 0, 2]), np.array([1, 3, 1])
+    trie = language_model.Trie.build(4, x, y, np.array([2, 1, 5]), np.array([0, 0, 2]), np.array([2, 3, 3]), np.array([1, 1, 5]))
+    trie.save(str(tmp_path / "t"))
+    trie = language_model.Trie.load(str(tmp_path / "t"))
+    found = trie.pairs(np.array([0, 0, 1, 2]), np.array([1, 2, 1, 1]))
+    assert found.tolist() == [0, -1, -1, 2]
+    assert trie.triples(found, np.array([1, 2, 1, 1]), np.array([3, 3, 3, 3])).tolist() == [1, -1, -1, 2]
+
+
+def spans(text):
+    out = []
+    for kind, pattern, long in (("assign", secrets.ASSIGN, lambda m: len(m[2]) >= 6), ("access", secrets.ACCESS, lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)):
+        out += [(m.start(), secrets.BASE.index(kind), f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if long(m)]
+    return [x for *_, x in sorted(out)]
+
+
+def test_secret_base_spans(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    for r in QUERIES["op4_secrets"](spark, MIDDLE).collect():
+        want = spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_weak_parts_need_each_other():
+    opaque = "aB3dE5gH7jK9mN1pQ3sT5vW7xZ9"
+    kinds = lambda text: [k for k, _, _ in secrets.scan(text)]
+    assert kinds(f"see {opaque} there") == []
+    assert kinds(f"user=bob key {opaque} at https://api.example.com/v1") == ["account", "opaque", "endpoint"]
+    assert kinds(f"user=bob\n\nkey {opaque}") == []
+    assert kinds(f"user=bob {'x ' * 300} key {opaque}") == []
+    assert secrets.redact("token=abcdef1 x", secrets.scan("token=abcdef1 x")) == "[SECRET] x"
+
+
+def test_decontamination_against_windows(spark):
+    fold = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+    split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = defaultdict(set)
+    for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect():
+        w = split.findall(fold(r.text))
+        for j in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[j : j + 10])].add(str(r.item_id))
+    rows = {r.doc_id: r for r in QUERIES["op5_decontamination"](spark, MIDDLE).collect()}
+    for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect():
+        w, hit, items = split.findall(fold(r.text)), set(), set()
+        for p in range(len(w)):
+            if found := windows.get(tuple(w[p : p + 10])):
+                hit.update(range(p, p + 10))
+                items |= found
+        got = rows[r.doc_id]
+        assert (got.n_words, got.n_hit, got.n_items) == (len(w), len(hit), len(items))
+        assert got.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def test_suffix_search_with_small_words_and_windows():
+    rng = np.random.default_rng(3)
+    for window in (1, 2, 3, 7):
+        texts = [[b"%d" % i for i in rng.integers(0, 3, n)] for n in (0, 1, 50, 200)]
+        items = [(str(i), [b"%d" % k for k in rng.integers(0, 3, n)]) for i, n in enumerate((0, 1, 2, 9, 12))]
+        counts, found, _ = decontaminate.search(texts, iter([decontaminate.Suite(items, window)]))
+        for text, n, names in zip(texts, counts, found, strict=True):
+            hit, want = set(), set()
+            for name, item in items:
+                for j in range(max(1, len(item) - window + 1) if item else 0):
+                    part = item[j : j + window]
+                    for p in range(len(text) - len(part) + 1):
+                        if text[p : p + len(part)] == part:
+                            hit.update(range(p, p + len(part)))
+                            want.add(name)
+            assert (n, names) == (len(hit), want)
+
+
+def test_pseudonyms_stay_valid_and_linked(spark):
+    text = "4111 1111 1111 1111 and 4111111111111111 not 4111111111111112; GB82WEST12345698765432; 1984-02-29 29.02.1984; 10.0.0.255; +1 (643) 555-5742; ann.b7@mail.example.com; 123-45-6789"
+    rows = [(i, text if i < 2 else f"{10**15 + 7 * i}") for i in range(3)]
+    out = [r.clean for r in pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert out[0] == out[1] and out[2] == rows[2][1]
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b\d{16}\b", out[0])
+    assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[2] == "4111111111111112"
+    luhn = lambda s: sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10
+    assert luhn(cards[1]) == 0 and cards[1][0] == "4"
+    iban = re.search(r"GB\d\d[A-Z]{4}\d{14}", out[0])[0]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    iso, dotted = re.search(r"\d{4}-\d\d-\d\d", out[0])[0], re.search(r"\d\d\.\d\d\.\d{4}", out[0])[0]
+    assert iso.split("-") == dotted.split(".")[::-1]
+    assert re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", out[0]) and re.search(r"[a-z]{3}\.[a-z]\d@mail\.example\.com", out[0])
+
+
+def test_date_permutation(spark):
+    from pyspark.sql import functions as F
+
+    found = spark.range(300).select(pseudonyms.permute(F.col("id"), 300, "k", "x").alias("p")).collect()
+    assert sorted(r.p for r in found) == list(range(300))
+
+
+def test_language_accuracy(spark):
+    rows = QUERIES["op7_langid"](spark, MIDDLE).collect()
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.98 * len(held)
+    for k in (2, 4, 9):
+        code = langid.codewords(k)
+        assert len({tuple(c) for c in code.tolist()}) == k
+
+
+def test_neighbours_recall(spark):
+    rows = QUERIES["op8_neighbours"](spark, SMALL).collect()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        assert abs(r.score - float(vectors[r.query_id] @ vectors[r.vec_id])) < 1e-12
+        got[r.query_id].append(r.vec_id)
+    right = 0
+    for q, found in got.items():
+        best = sorted(((-float(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:20]
+        right += len({i for _, i in best} & set(found))
+    assert set(got) == {i for i in vectors if i % 20 == 0} and right >= 0.9 * 20 * len(got)
+
+
+def test_copies_keep_their_smallest_ids(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in range(40, 140)] + [(i, [0.0, 1.0], 0) for i in range(3)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), __import__("pyspark.sql.functions", fromlist=["col"]).col("id") == 60).collect()
+    assert sorted(r.vec_id for r in found) == [i for i in range(40, 61) if i != 60]
+
+
+def test_simhash_against_all_pairs(spark):
+    rows = QUERIES["op9_simhash"](spark, MIDDLE).collect()
+    values = np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
+    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
+    ids = [r.doc_id for r in rows]
+    label = list(ids)
+    for _ in range(20):
+        label = [min(label[j] for j in np.flatnonzero(close[i])) for i in range(len(ids))]
+    assert label == [r.component_id for r in rows]
+
+
+def test_trees_find_every_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (300, 4), dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *(base ^ np.bitwise_xor.reduce(flips[:, :k], axis=1) for k in (1, 2, 3, 4))]).view(np.int64))
+    label = simhash.linked(values.view(np.uint64), np.ones(len(values), bool), 0)
+    other = simhash.linked(values.view(np.uint64), np.ones(len(values), bool), 1)
+    close = np.bitwise_count(values.view(np.uint64)[:, None] ^ values.view(np.uint64)[None, :]) <= 3
+    from quillon.llm.common import components
+
+    n = np.arange(len(values))
+    assert (components(len(n), np.concatenate([n, n]), np.concatenate([label, other])) == components(len(n), *np.nonzero(close))).all()
+
+
+def test_upper_tree_routes_every_link(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**32, 4000, dtype=np.uint64).astype(np.uint32)
+    b = a ^ (np.uint32(1) << rng.integers(0, 32, 4000).astype(np.uint32))
+    tree = simhash.plan(a, 32)
+    homes, seen = {}, defaultdict(set)
+    for leaf, index, home in simhash.route(tree, a):
+        homes.update(dict.fromkeys(index[home].tolist(), leaf))
+    for leaf, index, _ in simhash.route(tree, b):
+        for i in index.tolist():
+            seen[i].add(leaf)
+    assert len(homes) == len(a) and all(homes[i] in seen[i] for i in range(len(a)))
+
+
+def test_connect_joins_chains(spark):
+    edges = [(i + 1, i) for i in range(30) if i != 10] + [(100, 5), (101, 100)]
+    roots = {r.node: r.root for r in simhash.connect(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(1, 11)} | {i: 11 for i in range(12, 31)} | {100: 0, 101: 0}
+
+
+def test_toxicity_learns(spark):
+    from quillon.llm import toxicity
+
+    docs = [(i, f"the quick {'vile scoundrel' if i % 3 == 0 else 'kind neighbour'} number {i} walks {i * 7 % 11} miles") for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = toxicity.predict(frame, model).collect()
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in rows if r.doc_id >= 200)
