@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.lineage import cut
+
 
 def moved(adj: dict, total: float, passes: int = 25, resolution: float = 1.0) -> dict:
     """Community of each node, by the number of the node that gave it its name."""
@@ -38,18 +40,20 @@ def moved(adj: dict, total: float, passes: int = 25, resolution: float = 1.0) ->
     return label
 
 
-def components(adj: DataFrame, rounds: int = 20) -> DataFrame:
-    """node and root: the smallest node that it is connected with, found by passing labels on until none changes."""
-    steps = adj.select("u", "v").where("u != v").distinct()
-    labels = adj.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
-        heard = steps.join(labels, steps["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("r"))
-        after = labels.join(heard, labels["node"] == heard["u"], "left").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("_less"))
-        after = after.persist()
-        if not after.where("_less").take(1):
-            return after.select("node", "root")
-        labels = after.select("node", "root")
-    return labels
+def components(adj: DataFrame) -> DataFrame:
+    """node and root: the smallest node that it is connected with. Each round a node takes the smallest root among its neighbours,
+    then the root of its root, so that long chains take few rounds; lineage is cut after each."""
+    spark = adj.sparkSession
+    steps = cut(spark, adj.select("u", "v").where("u != v").distinct())
+    labels = cut(spark, adj.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
+    while True:
+        heard = steps.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("r"))
+        near = labels.join(heard, "node", "left").select("node", "root", F.least("root", "r").alias("to"))
+        roots = labels.select(F.col("node").alias("to"), F.col("root").alias("up"))
+        after = cut(spark, near.join(roots, "to", "left").select("node", F.least("to", "up").alias("new"), (F.least("to", "up") < F.col("root")).alias("less")))
+        labels = after.select("node", F.col("new").alias("root"))
+        if not after.where("less").take(1):
+            return labels
 
 
 def detect(adj: DataFrame) -> DataFrame:
