@@ -10,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.lineage import cut, shared_folder
+
+__all__ = ["blocks", "components", "cut", "documents", "fresh", "raw", "remainder", "shared_folder", "stored"]
+
 #: Text bytes that a Python worker holds at once, about.
 BLOCK_BYTES = 16 << 20
 
@@ -35,22 +39,6 @@ def fresh(taken, *wanted: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own, or a new one where none is set."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the folder that all executors share."""
-    shared_folder(spark)
-    return df.checkpoint(eager=True)
-
-
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written as Parquet into the folder that all executors share, and read again."""
     import uuid
