@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs", "documents")
+NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs", "documents", "reporting")
 
 
 def load() -> None:
