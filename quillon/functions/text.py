@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search.
@@ -42,6 +42,17 @@ def tokens(text: Column, keep_stop: bool = False) -> Column:
     return F.transform(F.flatten(F.transform(found, expand)), stem)
 
 
+def terms(docs: DataFrame, keep: list[Column], text: Column, name: str = "term") -> DataFrame:
+    """The columns kept and name, a row for each stemmed token. Rows are made before tokens are expanded and stemmed, so that only compounds take array functions; the rest is compiled."""
+    found = F.regexp_extract_all(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), F.lit(COMPOUND), F.lit(0))
+    t = F.col("_t")
+    parts = F.filter(F.split(t, "[-.]"), lambda p: ~p.isin(*STOPWORDS))
+    every = F.when(F.contains(t, F.lit("-")) | F.contains(t, F.lit(".")), F.concat(F.array(t, F.regexp_replace(t, "[-.]", "")), parts)).when(t.isin(*STOPWORDS), F.array().cast("array<string>")).otherwise(F.array(t))
+    rows = docs.select(*keep, F.explode(found).alias("_t"))
+    kept = [F.col(c) for c in rows.columns[:-1]]
+    return rows.select(*kept, F.explode(every).alias("_t")).select(*kept, stem(t).alias(name))
+
+
 def count_tokens(text: Column) -> Column:
     """Words (in any script) and single punctuation marks."""
     return F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]"))

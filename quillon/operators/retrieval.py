@@ -15,10 +15,9 @@ RERANK_WEIGHTS = {"cov": 0.30, "bigram": 0.12, "entity": 0.18, "title": 0.08, "p
 
 def postings(docs: DataFrame, doc: str, text: str, fields: list[str] | None = None, boost: float = FIELD_BOOST) -> DataFrame:
     """doc, term, tf, dl: a row for each term of each document. Terms of the fields weigh boost."""
-    terms = docs.select(F.col(doc).alias("doc"), F.explode(T.tokens(F.col(text))).alias("term"), F.lit(1.0).alias("w"))
+    terms = T.terms(docs, [F.col(doc).alias("doc"), F.lit(1.0).alias("w")], F.col(text))
     if fields:
-        heads = docs.select(F.col(doc).alias("doc"), F.explode(T.tokens(F.concat_ws(" ", *fields))).alias("term"), F.lit(float(boost)).alias("w"))
-        terms = terms.unionByName(heads)
+        terms = terms.unionByName(T.terms(docs, [F.col(doc).alias("doc"), F.lit(float(boost)).alias("w")], F.concat_ws(" ", *fields)))
     counted = terms.groupBy("doc", "term").agg(F.sum("w").alias("tf"))
     return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")))
 
@@ -38,7 +37,7 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
-    return queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    return T.terms(queries, [F.col(query).alias("query")], F.col(text)).distinct()
 
 
 def bm25(index: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

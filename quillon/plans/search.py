@@ -19,6 +19,11 @@ stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dls)"""
 _SCORE = "ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
 
 
+def _postings(spark, sf_dir):
+    """The term index; statistics, frequencies and scores read it, so that it is kept."""
+    return R.postings(table(spark, sf_dir, "documents"), "doc_id", "text").persist()
+
+
 def _question(spark, text=QUESTION):
     return spark.createDataFrame([(0, text)], "query int, text string")
 
@@ -32,7 +37,7 @@ scored AS (SELECT query, doc, round(sum({_SCORE}), 6) AS score FROM terms JOIN p
 
 @register("bm25_topk", f"{_BM25} SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc)::INT AS rank FROM scored QUALIFY rank <= 20")
 def bm25_topk(spark, sf_dir):
-    index = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = _postings(spark, sf_dir)
     terms = R.query_terms(_question(spark), "query", "text")
     return R.top(R.bm25(index, F.broadcast(terms)), 20).select("doc", "score", "rank")
 
@@ -42,12 +47,12 @@ def bm25_filtered_lang(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     terms = R.query_terms(_question(spark), "query", "text")
     allowed = docs.where(F.col("lang") == "en").select(F.col("doc_id").alias("doc"))
-    return R.top(R.bm25(R.postings(docs, "doc_id", "text"), F.broadcast(terms), allowed), 20).select("doc", "score", "rank")
+    return R.top(R.bm25(_postings(spark, sf_dir), F.broadcast(terms), allowed), 20).select("doc", "score", "rank")
 
 
 @register("bm25_idf", f"WITH {_INDEX} SELECT term, count(*)::DOUBLE AS df, round(ln(1::DOUBLE + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM post, stats GROUP BY term")
 def bm25_idf(spark, sf_dir):
-    found = R.document_frequency(R.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = R.document_frequency(_postings(spark, sf_dir))
     return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -70,7 +75,7 @@ def bm25_field_boost(spark, sf_dir):
     SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM scored QUALIFY rank <= 3""",
 )
 def bm25_batch(spark, sf_dir):
-    index = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = _postings(spark, sf_dir)
     terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     return R.top(R.bm25(index, terms), 3).select("query", "doc", "score", "rank")
 
@@ -126,7 +131,7 @@ def retrieval_metrics(spark, sf_dir):
 def _lists(spark, sf_dir):
     """Two ranked lists a query: by BM25, and by length of the common vocabulary."""
     docs = table(spark, sf_dir, "documents")
-    index = R.postings(docs, "doc_id", "text")
+    index = _postings(spark, sf_dir)
     terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     one = R.top(R.bm25(index, terms), 10).select("query", F.lit("bm25").alias("list"), "doc", "rank", F.lit(1.0).alias("weight"))
     shared = index.join(terms, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).cast("double").alias("score"))
@@ -158,7 +163,7 @@ def fused_topk(spark, sf_dir):
 def prior_normalised(spark, sf_dir):
     from pyspark.sql import Window
 
-    index = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = _postings(spark, sf_dir)
     terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     scored = R.bm25(index, terms)
     return scored.select("query", "doc", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6).alias("prior"))
@@ -195,7 +200,7 @@ def reranked(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     asked = _question(spark)
-    index = R.postings(docs, "doc_id", "text")
+    index = _postings(spark, sf_dir)
     terms = R.query_terms(asked, "query", "text")
     best = R.top(R.bm25(index, F.broadcast(terms)), 50)
     best = best.withColumn("bm25", F.col("score") / F.max("score").over(Window.partitionBy("query")))
@@ -233,7 +238,7 @@ def crag_grade(spark, sf_dir):
 def knowledge_gap(spark, sf_dir):
     asked = spark.createDataFrame([(1, "zzyzx quuxblat frobnicate"), (2, "apache license version"), (3, "the license of zzyzx")], "query int, text string")
     terms = R.query_terms(asked, "query", "text").where((F.length("term") >= 4) & F.col("term").rlike("^[a-z]+$"))
-    known = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    known = T.terms(table(spark, sf_dir, "documents"), [], F.col("text")).distinct()
     seen = known.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").withColumn("seen", F.lit(True))
     unseen = F.count_if(F.col("seen").isNull())
     return terms.join(F.broadcast(seen), "term", "left").groupBy("query").agg(F.count(F.lit(1)).alias("n_terms"), unseen.alias("n_unseen"), ((unseen >= 2) & (unseen >= 0.6 * F.count(F.lit(1)))).alias("gap"))
@@ -242,7 +247,7 @@ def knowledge_gap(spark, sf_dir):
 @register("stem_vocabulary", f"WITH {tokens_sql('documents', 'doc_id', 'text')} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY term")
 def stem_vocabulary(spark, sf_dir):
     """Frequencies of stems; documents are counted through the distinct pairs."""
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    terms = T.terms(table(spark, sf_dir, "documents"), [F.col("doc_id")], F.col("text"))
     return terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
