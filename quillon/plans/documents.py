@@ -150,3 +150,21 @@ def ask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("head"), F.col("doc_id").alias("document"), "source", F.lit("news").alias("kind"))
     asked = spark.createDataFrame([(0, "apache license version 2.0"), (1, "zzyzx quuxblat")], "query int, text string")
     return Corpus(docs).ask(asked)
+
+
+@register(
+    "question_variants",
+    "SELECT * FROM (VALUES (1, 'original', 'What is a moe release?', 1.0::DOUBLE), (1, 'rewrite', 'a moe release GPT-4', 0.7::DOUBLE), (1, 'expansion', 'What is a moe release? mixture of experts introduce announce launch', 0.5::DOUBLE), (2, 'original', 'cats', 1.0::DOUBLE)) AS v(id, kind, text, weight)",
+)
+def question_variants(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "What is a moe release?", ["GPT-4"]), (2, "cats", [])], "id int, text string, names array<string>")
+    return questions.variants(rows, "id")
+
+
+@register(
+    "condensed_turns",
+    "SELECT * FROM (VALUES (1, 1, 'Who made GPT-4?'), (1, 2, 'What is GPT-4''s license?'), (1, 3, 'And when was GPT-4 released?'), (2, 1, 'What is it?'), (3, 2, 'how much (regarding A and B)?'), (3, 1, 'Compare A and B')) AS v(conv_id, turn, standalone)",
+)
+def condensed_turns(spark, sf_dir):
+    rows = [(1, 1, "Who made GPT-4?", ["GPT-4"]), (1, 2, "What is its license?", []), (1, 3, "And when was it released?", []), (2, 1, "What is it?", []), (3, 1, "Compare A and B", ["A", "B"]), (3, 2, "how much", [])]
+    return questions.condense(spark.createDataFrame(rows, "conv_id int, turn int, text string, names array<string>")).select("conv_id", "turn", "standalone")
