@@ -15,7 +15,7 @@ from quillon.lineage import cut, shared_folder
 __all__ = ["blocks", "components", "cut", "documents", "fresh", "raw", "remainder", "shared_folder", "stored"]
 
 #: Text bytes that a Python worker holds at once, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from quillon.llm.common import blocks, documents, raw
 CAPACITY = 2048
 GROUP = 16384
 #: Distinct words that a worker process remembers, over all its tasks; beyond it, it forgets all and goes on.
-WORDS = 1_200_000
+WORDS = 700_000
 #: ASCII punctuation without the apostrophe, which can begin a piece with the letters after it.
 PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
 #: Text bytes that are looked up at once.
@@ -53,7 +53,7 @@ class Encoder:
     def forget(self) -> None:
         self.words: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self.filled = 0
 
     def learn(self, new: list[bytes]) -> None:
