@@ -131,10 +131,12 @@ def linked(values: np.ndarray, home: np.ndarray, which: int, bits: int = BITS) -
         nonlocal held
         for q in np.array_split(queries, max(1, len(queries) * len(points) // 4_000_000)):
             a, b = np.nonzero(np.bitwise_count(values[q][:, None] ^ values[points][None, :]) <= bits)
-            if len(a) > len(q):  # else each only meets itself
-                left.append(q[a])
-                right.append(points[b])
-                held += len(a)
+            a, b = q[a], points[b]
+            apart = a != b  # queries need not be among the points, so that the number of matches says nothing
+            if apart.any():
+                left.append(a[apart])
+                right.append(b[apart])
+                held += int(apart.sum())
         if held > 4_000_000:
             settle()
 

@@ -237,6 +237,22 @@ def test_copies_keep_their_smallest_ids(spark):
     assert sorted(r.vec_id for r in found) == [i for i in range(40, 61) if i != 60]
 
 
+def test_simhash_sparse_links():
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    flips = (np.uint64(1) << np.uint64(3)) | (np.uint64(1) << np.uint64(40))
+    values = np.sort(np.unique(np.concatenate([points, points[::20] ^ flips])).view(np.int64)).view(np.uint64)
+    want = simhash.components(len(values), *np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3))
+    assert (want != np.arange(len(values))).sum() == 300
+    for which in (0, 1):
+        label = simhash.linked(values, np.ones(len(values), bool), which)
+        assert (label == want).all()
+    # Queries that are nobody's points here: most rows belong to other shards.
+    home = np.zeros(len(values), bool)
+    home[np.isin(values, points[::20])] = True
+    assert (simhash.linked(values, home, 0) == want).all()
+
+
 def test_simhash_against_all_pairs(spark):
     rows = QUERIES["op9_simhash"](spark, MIDDLE).collect()
     values = np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
