@@ -7,7 +7,9 @@ depends on the key and the value alone, so that equal values stay equal in all d
 Its round function is SHA-256 over the key, the format, the round and the other half.
 
 Values are found by one pattern, left to right. What looks like a value but fails its check (a Luhn sum, an IBAN's
-remainder, a day that no month has, an octet over 255) stays as it is. Separators and the case of letters stay.
+remainder, a day that no month has, an octet over 255) stays as it is. Separators and the case of letters stay. An IBAN ends
+at its country's length. Digits in groups are taken as one run, whatever its length; where its longest card fails, shorter
+ones and later ones, of whole groups, are tried in the lengths that issuers use.
 
 Defined cases: a null text stays null, an empty one empty, and both hold nothing; repeated rows are treated alike; an empty
 table gives an empty result; columns of any name stay beside the new ones.
@@ -26,12 +28,23 @@ WALK = 64
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: The characters of an IBAN in each country that has them.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in LENGTHS.items())
+#: By its country's length, or else the longest.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OWN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A run of digits in groups, up to where a value of another kind begins.
+CARD = rf"(?<![0-9])[0-9](?:(?:[ -](?!{EMAIL}|{DATE}|{SSN}|{IP}|{PHONE}))?[0-9]){{12,}}+"
+#: Card numbers by issuer and length: Visa, Mastercard, Mir, American Express, Diners, JCB, and Maestro, Discover, UnionPay.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|220[0-4][0-9]{12,15}|3[47][0-9]{13}|3(?:0[0-59]|[689][0-9])[0-9]{11,16}|35[2-8][0-9]{13,16}|(?:5[06-8]|6[0-9])[0-9]{11,17})$"
 ANY = "|".join((EMAIL, IBAN, DATE, SSN, IP, PHONE, CARD))
 KINDS = ("email", "iban", "date", "ssn", "ip", "phone", "card")
 
@@ -121,6 +134,46 @@ def card(text: Column, key: str) -> Column:
     return let(digits(text), made)
 
 
+def cards(text: Column, key: str) -> Column:
+    """value and n: a run of digits with its cards permuted, and how many there are; null if there are none."""
+
+    def windows(groups: Column) -> Column:
+        """Stretches of 13 to 19 digits of whole groups: first group, groups, digits; the longest of each first group first."""
+        own = lambda i: F.transform(F.sequence(F.lit(19), F.lit(1), F.lit(-1)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice(groups, i + 1, n), "").alias("w")))
+        fit = lambda x: (x["i"] + x["n"] <= F.size(groups)) & F.length(x["w"]).between(13, 19)
+        marked = lambda x, k: F.struct(x["i"].alias("i"), x["n"].alias("n"), (k == 0).alias("longest"), x["w"].rlike(ISSUED).alias("issued"), (F.pmod(luhn(digits(x["w"])), F.lit(10)) == 0).alias("ok"))
+        return F.flatten(F.transform(groups, lambda _, i: F.transform(F.filter(own(i), fit), marked)))
+
+    def picked(found: Column) -> Column:
+        """Left to right. The longest from where the last one ended may be of any issuer, what is within it if it fails not."""
+        pick = "array<struct<i:int,n:int>>"
+
+        def step(s: Column, x: Column) -> Column:
+            end, whole = x["i"] + x["n"], (x["i"] >= s["fresh"]) & x["longest"]
+            taken = F.struct(end.alias("at"), end.alias("fresh"), F.concat(s["p"], F.array(F.struct(x["i"].alias("i"), x["n"].alias("n")))).cast(pick).alias("p"))
+            failed = F.struct(s["at"].alias("at"), F.when(whole, end).otherwise(s["fresh"]).alias("fresh"), s["p"].alias("p"))
+            return F.when(x["i"] < s["at"], s).when(x["ok"] & (x["issued"] | whole), taken).otherwise(failed)
+
+        return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0).alias("fresh"), F.array().cast(pick).alias("p")), step, lambda s: s["p"])
+
+    def rebuilt(groups: Column, picks: Column) -> Column:
+        upto = lambda n: F.length(F.array_join(F.slice(groups, 1, n), "-"))  # noqa: E731  separators are one character each
+        begin = lambda x: F.when(x["i"] == 0, 0).otherwise(upto(x["i"]) + 1)
+        part = lambda a, b: F.substring(text, a + 1, b - a)
+
+        def step(s: Column, x: Column) -> Column:
+            made = lambda p: F.struct(F.concat(s["t"], part(s["at"], p["a"]), card(part(p["a"], p["b"]), key)).alias("t"), p["b"].alias("at"))
+            return let(F.struct(begin(x).alias("a"), upto(x["i"] + x["n"]).alias("b")), made)
+
+        return F.aggregate(picks, F.struct(F.lit("").alias("t"), F.lit(0).alias("at")), step, lambda s: F.concat(s["t"], part(s["at"], F.length(text))))
+
+    def made(groups: Column) -> Column:
+        out = lambda p: F.when(F.size(p) > 0, F.struct(rebuilt(groups, p).alias("value"), F.size(p).alias("n")))
+        return let(picked(windows(groups)), out)
+
+    return let(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), made)
+
+
 def value(c: Column) -> Column:
     """0 to 9 for a digit, 10 to 35 for a capital letter."""
     return F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55).cast("long")
@@ -203,14 +256,18 @@ def date(text: Column, key: str) -> Column:
     return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start), moved)
 
 
-MAKERS = {"email": (EMAIL, email), "iban": (IBAN, iban), "date": (DATE, date), "ssn": (SSN, ssn), "ip": (IP, ip), "phone": (PHONE, phone), "card": (CARD, card)}
+MAKERS = {"email": (EMAIL, email), "iban": (IBAN, iban), "date": (DATE, date), "ssn": (SSN, ssn), "ip": (IP, ip), "phone": (PHONE, phone), "card": (CARD, cards)}
 
 
 def pseudonym(text: Column, key: str) -> Column:
-    """kind and value of the pseudonym; both null if the check does not hold. No value fits two of the patterns."""
+    """kind, value of the pseudonym, and n, how many values it holds (more than 1 only for cards); null if the check does not hold. No value fits two of the patterns."""
     made = None
     for kind, (pattern, make) in MAKERS.items():
-        fits, one = text.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), make(text, key).alias("value"))
+        fits, value = text.rlike(f"^(?:{pattern})$"), make(text, key)
+        if make is cards:
+            one = let(value, lambda x: F.struct(F.lit("card").alias("kind"), x["value"].alias("value"), x["n"].alias("n")))
+        else:
+            one = F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(1).alias("n"))
         made = F.when(fits, one) if made is None else made.when(fits, one)
     return let(made, lambda x: F.when(x["value"].isNotNull(), x))
 
@@ -224,7 +281,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     gaps = F.split(source, ANY, -1)
     rebuilt = F.array_join(F.zip_with(gaps, F.transform(found, lambda x: F.coalesce(x["p"]["value"], x["m"])), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
     whole = F.when(F.size(found) > 0, rebuilt).otherwise(source)
-    return mapped.withColumns({clean: whole, kinds: F.filter(F.transform(found, lambda x: x["p"]["kind"]), lambda k: k.isNotNull())}).drop(found)
+    return mapped.withColumns({clean: whole, kinds: F.flatten(F.transform(F.filter(found, lambda x: x["p"].isNotNull()), lambda x: F.array_repeat(x["p"]["kind"], x["p"]["n"])))}).drop(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,22 @@ def test_pseudonyms_stay_valid_and_linked(spark):
     assert re.search(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", out[0]) and re.search(r"[a-z]{3}\.[a-z]\d@mail\.example\.com", out[0])
 
 
+def test_pseudonyms_of_values_beside_others(spark):
+    visa, spain = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    cases = [
+        (f"{visa} 123", visa, ["card"]), (f"{visa} 12/26", visa, ["card"]), (f"1 {visa}", visa, ["card"]), (f"2026 11 26 {visa}", visa, ["card"]),
+        (f"{visa} 5500-0000-0000-0004", visa, ["card", "card"]), (f"{visa} 2026-11-26", visa, ["card", "date"]), ("pay 3782 822463 10005 1234 now", "3782 822463 10005", ["card"]),
+        (f"{spain} EUR", spain, ["iban"]), (f"{spain} CAIXESBB", spain, ["iban"]), ("BE68 5390 0754 7034 KREDBEBB", "BE68 5390 0754 7034", ["iban"]),
+        (f"BE68 5390 0754 7034 {spain}", spain, ["iban", "iban"]), ("AT61 1904 3002 3457 3201 12", "AT61 1904 3002 3457 3201", ["iban"]), ("4111 1111 1111 1112 123", None, []), ("9" * 40, None, []),
+    ]
+    rows = [(i, t) for i, (t, _, _) in enumerate(cases)]
+    out = {r.doc_id: r for r in pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (text, value, kinds) in enumerate(cases):
+        assert out[i].kinds == kinds, text
+        assert len(out[i].clean) == len(text) and (value not in out[i].clean if value else out[i].clean == text), text
+    assert out[0].clean.endswith(" 123") and out[1].clean.endswith(" 12/26") and out[2].clean.startswith("1 4") and out[7].clean.endswith(" EUR")
+
+
 def test_date_permutation(spark):
     from pyspark.sql import functions as F
 
