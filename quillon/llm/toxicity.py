@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import blocks, documents, fresh, remainder
 from quillon.llm.ngrams import hashed, present
 
-ORDERS, FEATURE_BITS = range(3, 6), 20
+ORDERS, FEATURE_BITS = range(4, 8), 20
 PER_CLASS = 2000
 STEPS = 60
 LEAST_TEXTS = 10

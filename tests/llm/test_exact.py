@@ -330,6 +330,26 @@ def test_connect_joins_chains(spark):
     assert roots == {i: 0 for i in range(1, 11)} | {i: 11 for i in range(12, 31)} | {100: 0, 101: 0}
 
 
+def test_toxicity_recall_held_out():
+    import pyarrow.parquet as pq
+
+    from quillon.llm import toxicity
+    from quillon.llm.ngrams import hashed, present
+
+    large, last = "/root/testdata/sf0.1", np.zeros(1 << toxicity.FEATURE_BITS, np.int32)
+    toxic = {}
+    for r in pq.read_table(f"{large}/labels.parquet").to_pylist():
+        if r["toxic"] is not None and r["doc_id"] is not None:
+            toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"])
+    texts = dict(zip(*(pq.read_table(f"{large}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text")), strict=True))
+    chosen = sorted(i for i in toxic if i in texts and i % 5 and toxic[i]) + sorted(i for i in toxic if i in texts and i % 5 and not toxic[i])[:2000]
+    features = lambda i: np.array(present(hashed(texts[i] or "", toxicity.ORDERS, toxicity.FEATURE_BITS), last), np.int32)
+    model = toxicity.train([features(i) for i in chosen], np.array([toxic[i] > 0 for i in chosen]))
+    said = {i: model["weights"][features(i)].sum(dtype=np.float64) + model["bias"] >= 0 for i in toxic if i in texts and i % 5 == 0}
+    share = lambda label: np.mean([v for i, v in said.items() if (toxic[i] > 0) == label])
+    assert share(True) >= 0.87 and share(False) <= 0.01
+
+
 def test_toxicity_learns(spark):
     from quillon.llm import toxicity
 
