@@ -11,7 +11,7 @@ import pytest
 
 from quillon.llm import decontaminate, language_model, langid, neighbours, packing, pseudonyms, registry, secrets, sharding, simhash
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 QUERIES = registry.queries()
 
 
@@ -249,20 +249,73 @@ def test_language_accuracy(spark):
         assert len({tuple(c) for c in code.tolist()}) == k
 
 
-def test_neighbours_recall(spark):
-    rows = QUERIES["op8_neighbours"](spark, SMALL).collect()
-    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+@pytest.mark.parametrize("folder", [MIDDLE, LARGE])
+def test_neighbours_recall(spark, folder):
+    rows = QUERIES["op8_neighbours"](spark, folder).collect()
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
     got = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         assert abs(r.score - float(vectors[r.query_id] @ vectors[r.vec_id])) < 1e-12
-        got[r.query_id].append(r.vec_id)
+        got[r.query_id].append((-r.score, r.vec_id))
     right = 0
     for q, found in got.items():
+        assert found == sorted(found) and len(found) == 20
         best = sorted(((-float(vectors[q] @ v), i) for i, v in vectors.items() if i != q))[:20]
-        right += len({i for _, i in best} & set(found))
+        right += len({i for _, i in best} & {i for _, i in found})
     assert set(got) == {i for i in vectors if i % 20 == 0} and right >= 0.9 * 20 * len(got)
 
 
+def clustered(n: int, chance: np.random.Generator) -> np.ndarray:
+    centres = chance.normal(size=(max(1, n // 200), 32))
+    return centres[chance.integers(0, len(centres), n)] + 0.3 * chance.normal(size=(n, 32))
+
+
+def test_neighbours_of_clusters_with_a_hot_vector(spark):
+    """Norms differ, a third of the rows are one vector: the right scores, recall of 0.9, each row a query by itself."""
+    from pyspark.sql import functions as F
+
+    chance = np.random.default_rng(3)
+    v = clustered(3000, chance).astype(np.float32)
+    v[::3] = v[0]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5)
+    rows = neighbours.nearest(frame, F.col("id") % 20 == 0).collect()
+    score = v.astype(float) @ v.astype(float).T
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        assert abs(r.score - score[r.query_id, r.vec_id]) < 1e-9 and r.vec_id != r.query_id
+        got[r.query_id].append(r.score)
+    assert len(got) == 150
+    reached = [sum(x >= np.sort(np.delete(score[q], q))[-20] - 1e-9 for x in got[q]) for q in got]
+    assert sum(reached) >= 0.9 * 20 * len(got)
+
+
+def test_leaves_looked_at_grow_slower_than_the_table():
+    """Inner products of n / 20 queries over clustered vectors, at the number of leaves that the measurement chooses."""
+    chance, products = np.random.default_rng(4), []
+    for n in (2000, 8000, 32000):
+        v = clustered(n, chance).astype(np.float64)
+        most = float(np.linalg.norm(v, axis=1).max())
+        points = neighbours.lifted(v, most)
+        forest = neighbours.Forest(points[chance.permutation(n)], n // neighbours.LEAF)
+        asked = chance.choice(n, 40, replace=False)
+        near = [np.argsort(-v @ v[i])[:20] for i in asked]
+        visits = forest.visits(neighbours.aimed(v[asked]), [points[i] for i in near])
+        products.append(n / 20 * visits * n / (n // neighbours.LEAF))
+    growth = [math.log(b / a) / math.log(4) for a, b in zip(products, products[1:], strict=False)]
+    assert max(growth) < 1.5
+
+
+def test_best_is_brute_force():
+    chance = np.random.default_rng(6)
+    q, p = chance.normal(size=(30, 8)), chance.normal(size=(200, 8))
+    meet = [(chance.choice(30, 12, replace=False), part) for part in np.array_split(chance.permutation(200), 7)]
+    a, b, s = neighbours.best(q, p, meet, 5, most=50)
+    for i in range(30):
+        reachable = [j for who, part in meet if i in who for j in part]
+        want = sorted((-float(q[i] @ p[j]) for j in reachable))[:5]
+        assert np.allclose(sorted(-s[a == i]), want)
+
+
 def test_copies_keep_their_smallest_ids(spark):
     rows = [(i, [1.0, 0.0], 0) for i in range(40, 140)] + [(i, [0.0, 1.0], 0) for i in range(3)]
     found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), __import__("pyspark.sql.functions", fromlist=["col"]).col("id") == 60).collect()
