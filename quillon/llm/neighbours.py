@@ -9,8 +9,9 @@ beyond it in size. Trees are built on the driver and broadcast; then every vecto
 A query descends all trees at once: one priority queue holds the branches of all of them by the sum of squares of the
 distances at which the query passed their hyperplanes, and the nearest are followed until `visits` leaves are found. Only the
 points of these leaves are multiplied with the query, in double precision on the original vectors. Leaves are kept together in
-pages of about PAGE points: a query is sent to a page once, with the leaves it visits there, and a page that very many queries visit is
-copied for each QUERIES of them, so that what moves follows the candidates.
+pages of about PAGE_BYTES: a query is sent to a page once, with the leaves it visits there, and a page that very many queries visit is
+copied for each QUERIES of them, so that what moves follows the candidates. A page returns a query's k + 1 best, and of these only what scores at
+least as much as the query's k + 1st best member of the sample in its NEAREST first leaves, which is a bound for the whole table.
 
 `visits` is measured, not set: for CALIBRATED of the queries the true neighbours are found by one scan, their leaves' places in
 the queue are read off, and the least number that reaches the share TARGET of them is taken. Clustered vectors take few
@@ -41,8 +42,10 @@ from quillon.sharing import Shared
 TREES = 3
 #: Points aimed at in a leaf; points of the sample that a leaf keeps at least; bytes of the sample at most.
 LEAF, SAMPLED, SAMPLE_BYTES = 32, 4, 32 << 20
-#: Points of a page, about, and queries that meet one copy of it.
-PAGE, QUERIES = 8192, 16384
+#: Bytes of the points of a page in double precision, about, and queries that meet one copy of it.
+PAGE_BYTES, QUERIES = 32 << 20, 8192
+#: Leaves whose members in the sample tell what a query's neighbours score at least.
+NEAREST = 128
 #: Share of the true neighbours of CALIBRATED queries that the visited leaves have to hold.
 TARGET, CALIBRATED = 0.95, 48
 
@@ -54,9 +57,13 @@ class Forest:
         self.sample = sample.astype(np.float32)
         self.trees = [self._grow(self.sample, max(1, len(sample) // max(1, leaves)), np.random.default_rng([seed, t])) for t in range(trees)]
         self.ready = None
+        # As placed, which at a hyperplane may differ from where they were grown.
+        self.members = []
+        for cells, tree in zip(self.place(self.sample), self.trees, strict=True):
+            self.members.append(np.split(np.argsort(cells, kind="stable").astype(np.int32), np.cumsum(np.bincount(cells, minlength=tree[4]))[:-1]))
 
     def __getstate__(self):
-        return {"sample": self.sample, "trees": self.trees, "ready": None}
+        return {"sample": self.sample, "trees": self.trees, "members": self.members, "ready": None}
 
     @staticmethod
     def _grow(points: np.ndarray, leaf: int, chance: np.random.Generator):
@@ -126,6 +133,12 @@ class Forest:
                 node = int(below[node, int(near)])
             yield t, -1 - node
 
+    def least(self, query: np.ndarray, cells: list[tuple[int, int]], k: int) -> float:
+        """Product of the query with the k-th best of the sample's members in some leaves, less what single precision may err."""
+        own = np.unique(np.concatenate([self.members[t][leaf] for t, leaf in cells]))
+        score = self.sample[own] @ query.astype(np.float32)
+        return float(np.partition(score, -k)[-k]) - 1e-4 if len(own) >= k else -np.inf
+
     def visits(self, queries: np.ndarray, neighbours: list[np.ndarray], target: float = TARGET) -> int:
         """The fewest leaves that hold the target share of the queries' neighbours, and at least one of each tree."""
         first = []
@@ -163,9 +176,9 @@ def rows(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims).astype(np.float64)
 
 
-def best(q: np.ndarray, p: np.ndarray, meet: list[tuple[np.ndarray, np.ndarray]], k: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best points of each query among those it meets: query, point and inner product. meet: queries and points, each all with all."""
-    least = np.full(len(q), -np.inf)
+def best(q: np.ndarray, p: np.ndarray, meet: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best points of each query among those it meets, if they score `least`: query, point and inner product. meet: queries and points, each all with all."""
+    least = least.copy()
     held, size = [], 0
 
     def settle():
@@ -227,7 +240,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
     forest = Forest(lifted(rows(sample["v"].combine_chunks(), dims), most), leaves, trees)
     visits = forest.visits(*calibration(points, asking, dims, most, k), target)
     shared = Shared(spark, forest)
-    per_page = max(1, PAGE * leaves // n)
+    per_page = max(1, PAGE_BYTES // (8 * dims) * leaves // n)
     kept = "<f8" if points.schema["v"].dataType.elementType.simpleString() == "double" else "<f4"
 
     keys = ["tree", "page", "part"]
@@ -250,17 +263,19 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
             if batch.num_rows:
                 v = rows(batch.column("v"), dims)
                 out = []
-                for i, direction in enumerate(aimed(v)):
-                    found = np.array(list(islice(shared.value().order(direction), visits)), np.int32)
+                for i, (direction, size) in enumerate(zip(aimed(v), np.linalg.norm(v, axis=1), strict=True)):
+                    found = list(islice(shared.value().order(direction), visits))
+                    least = shared.value().least(direction, found[:NEAREST], k + 1) * size * most
+                    found = np.array(found, np.int32)
                     found = found[np.lexsort((found[:, 1], found[:, 0]))]
                     page = found[:, 0].astype(np.int64) << 32 | found[:, 1] // per_page
                     starts = np.flatnonzero(np.diff(page, prepend=-1))
-                    out += [(i, int(found[a, 0]), int(found[a, 1]) // per_page, cells.tobytes()) for a, cells in zip(starts, np.split(found[:, 1], starts[1:]), strict=True)]
+                    out += [(i, int(found[a, 0]), int(found[a, 1]) // per_page, cells.tobytes(), least) for a, cells in zip(starts, np.split(found[:, 1], starts[1:]), strict=True)]
                 of = [x[0] for x in out]
                 packed = [x.tobytes() for x in v.astype(kept)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), batch.column("point").take(pa.array(of, pa.int32())), pa.array([packed[i] for i in of], pa.binary()), pa.array([x[3] for x in out], pa.binary())],
-                    ["tree", "page", "point", "v", "cells"],
+                    [pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), batch.column("point").take(pa.array(of, pa.int32())), pa.array([packed[i] for i in of], pa.binary()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.float64())],
+                    ["tree", "page", "point", "v", "cells", "least"],
                 )
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +294,12 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
                 names, begins = np.unique(leaf, return_index=True)
                 low, high = np.searchsorted(cells[order], names), np.searchsorted(cells[order], names, "right")
                 meet = [(w, order[a:b]) for w, a, b in zip(np.split(who, begins[1:]), low, high, strict=True) if a < b]
-                a, b, score = best(*vectors, meet, k + 1)
+                a, b, score = best(*vectors, meet, k + 1, np.array([x[4] for x in q]))
                 yield pa.RecordBatch.from_arrays([pa.array([q[i][0] for i in a], pa.binary()), pa.array([p[i][0] for i in b], pa.binary()), pa.array([p[i][3] for i in b], pa.list_(pa.int64())), pa.array(score)], ["asks", "point", "ids", "score"])
             q.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*keys, "asks", "point", "v", "cells", "ids")]
+            columns = [batch.column(c).to_pylist() for c in (*keys, "asks", "point", "v", "cells", "ids", "least")]
             for tree, page, part, asks, *row in zip(*columns, strict=True):
                 if held != (tree, page, part):
                     yield from met()
@@ -295,11 +310,11 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", column: s
                 (q if asks else p).append(row)
         yield from met()
 
-    probed = cut(spark, asking.mapInArrow(probe, "tree int, page int, point binary, v binary, cells binary"))
+    probed = cut(spark, asking.mapInArrow(probe, "tree int, page int, point binary, v binary, cells binary, least double"))
     copies = probed.groupBy("tree", "page").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
-    share = probed.join(copies, ["tree", "page"]).select("tree", "page", F.pmod(F.xxhash64("point"), F.col("copies")).cast("int").alias("part"), F.lit(True).alias("asks"), "point", "v", "cells", F.lit(None).cast("array<long>").alias("ids"))
+    share = probed.join(copies, ["tree", "page"]).select("tree", "page", F.pmod(F.xxhash64("point"), F.col("copies")).cast("int").alias("part"), F.lit(True).alias("asks"), "point", "v", "cells", F.lit(None).cast("array<long>").alias("ids"), "least")
     indexed = points.mapInArrow(index, "tree int, page int, point binary, ids array<long>, v binary, cells binary")
-    paged = indexed.join(copies, ["tree", "page"]).select("tree", "page", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.lit(False).alias("asks"), "point", "v", "cells", "ids")
+    paged = indexed.join(copies, ["tree", "page"]).select("tree", "page", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.lit(False).alias("asks"), "point", "v", "cells", "ids", F.lit(None).cast("double").alias("least"))
     found = paged.unionByName(share).repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(rerank, "asks binary, point binary, ids array<long>, score double")
     return ranked(found, asked, k)
 
