@@ -2,12 +2,14 @@
 
 Each text is tokenized and ended by id 0; texts longer than the capacity are cut into whole pieces and a rest. A piece goes
 to the open bin for which the sum, over residual gaps, of the squared counts of open bins with that gap becomes smallest.
-Pieces are dealt by a hash into groups of about GROUP pieces, packed one group a task, larger pieces first.
+Pieces are kept in the shared folder, so that a lost executor costs no second tokenization, and dealt by a hash of their row's number into
+groups of about GROUP pieces, whatever they hold, packed one group a task, larger pieces first. Whole pieces fill a sequence each and stay out of this.
 
-Whole pieces fill a sequence each. Words are tokenized once and looked up later: the tokenizer
-splits at white space, and its normalizer never joins across it.
+Words are tokenized once and looked up later: the tokenizer splits at white space, and its normalizer never joins across it.
+The tokenizer's special tokens, where a text spells them, are the ids that they have in its file.
 
-Defined cases: a null or empty text is the single id 0; repeated rows are packed one by one; null document ids stay; an
+Defined cases: a null or empty text is the single id 0; a very long text is looked up a stretch at a time and held whole only as its ids; repeated rows are packed one by one, and which
+of them gets which place does not show; ties go to the smallest gap left, then to a new bin; document ids of any type, null too, stay as they are; no other column is read; an
 empty table gives an empty result.
 """
 
@@ -17,12 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, documents, raw
+from quillon.llm.common import blocks, cut, documents, raw
 
 CAPACITY = 2048
 GROUP = 16384
@@ -34,6 +35,13 @@ PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
 LOOKUP_BYTES = 4 << 20
 
 
+def split(text: bytes) -> list[bytes]:
+    """Words in lower case, but for those that may hold a special token, which is found by its case."""
+    if b"<|" not in text:
+        return text.lower().split()
+    return [w if b"<|" in w else w.lower() for w in text.split()]
+
+
 class Encoder:
     """Ids of texts by a tokenizer file that drops white space and case, through a bounded memory of words."""
 
@@ -44,7 +52,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -102,7 +109,7 @@ class Encoder:
             end = begin + LOOKUP_BYTES
             if end < len(text):
                 end = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end)) + 1 or len(text)
-            found = text[begin:end].lower().split()
+            found = split(text[begin:end])
             begin = end
             if len(self.words) > WORDS:
                 self.forget()
@@ -129,7 +136,7 @@ class Encoder:
     def _together(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(texts) == 1:
             return [np.concatenate([*self.encode(texts[0]), np.zeros(0, np.uint32)])]
-        found = [x.lower().split() for x in texts]
+        found = [split(x) for x in texts]
         every = [w for words in found for w in words]
         if len(self.words) > WORDS:
             self.forget()
@@ -144,7 +151,7 @@ class Encoder:
 
 
 def remembered(path: str) -> Encoder:
-    """This process's encoder for the file: what it has learned lasts from task to task, and changes no result."""
+    """This process's encoder for the file: what it has learned lasts from task to task, and changes no result. Functions come to workers by value, so that a module cannot hold it."""
     import sys
 
     held = sys.__dict__.setdefault("_quillon_encoders", {})
@@ -156,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     kind = docs.schema[key].dataType
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = remembered(tokenizer)
         for table in blocks(batches, "t", LOOKUP_BYTES):
             rows, piece, start, length, crc = [], [], [], [], []
@@ -172,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
             taken = table.column("k").combine_chunks().take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(cut, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(made, schema)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,21 +214,24 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack(parts: DataFrame, n_texts: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The rows of pieces() with sequence_id and offset. n_texts bounds the pieces shorter than the capacity; only these are searched bins for."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """The rows of pieces() with sequence_id (below 0 for whole pieces) and offset."""
+    spark = parts.sparkSession
     schema = f"{', '.join(f'`{n}` {t}' for n, t in parts.dtypes)}, sequence_id long, offset long"
-    groups = max(1, -(-n_texts // group))
+    kept = cut(spark, parts.withColumn("row", F.monotonically_increasing_id()))
+    short = kept.where(F.col("length") < capacity)
+    groups = max(1, -(-short.count() // group))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sizes = rows["length"].to_numpy()
-        full = int((sizes >= capacity).sum())
-        bins, offsets = sum_of_squares(sizes[full:], capacity)
-        bins, offsets = np.concatenate([np.arange(full), bins + full]), np.concatenate([np.zeros(full, np.int64), offsets])
-        return rows.assign(sequence_id=bins * groups + rows["g"], offset=offsets).drop(columns="g")
+    def place(table: pa.Table) -> pa.Table:
+        # The order of equal lengths is told by contents, not by arrival.
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        bins, offsets = sum_of_squares(table.column("length").to_numpy(), capacity)
+        ids = bins * groups + table.column("g").to_numpy()
+        return table.drop_columns(["row", "g"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    grouped = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    return grouped.groupBy("g").applyInPandas(place, schema)
+    packed = short.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("g").applyInArrow(place, schema)
+    whole = kept.where(F.col("length") >= capacity)
+    return packed.unionByName(whole.withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")}).drop("row"))
 
 
 def tokenizer_path() -> str:
@@ -231,5 +241,4 @@ def tokenizer_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return pack(pieces(docs, tokenizer_path()), docs.count())
+    return pack(pieces(documents(spark, sf_dir), tokenizer_path()))

@@ -34,7 +34,6 @@ def test_packing_ids(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     want = {}
     for key, text in docs:
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
@@ -47,11 +46,30 @@ def test_packing_ids(spark, docs):
     assert len({r.sequence_id for r in rows}) <= math.ceil(least * 1.1)
 
 
+def test_packing_keeps_ids_and_places_repeats(spark):
+    """Large ids beside a null one; thousands of equal rows, which no key sets apart; a text of several pieces."""
+    rows = [(None, "same words here")] * 2500 + [(2**60 + 1, "same words here"), (2**60 + 3, "b " * 5000), (2**60 + 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = packing.pack(packing.pieces(docs, packing.tokenizer_path()), group=500).collect()
+    assert Counter(r.doc_id for r in found) == Counter({None: 2500, 2**60 + 1: 1, 2**60 + 3: 4})
+    by = defaultdict(list)
+    for r in found:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [at for at, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(by) <= math.ceil(sum(r.length for r in found) / 2048) + 6
+
+
 def test_encoder_knows_odd_words():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
     encoder = packing.Encoder(packing.tokenizer_path())
-    texts = ["a\x0bb c\x1cd", "don't O'CLOCK 'S İstanbul ΑΣ", "3.5 ,,, ﬁ <|endoftext|>", "", " \n", "é ́ K å."]
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    texts = ["a <|endoftext|> b", "X<|startoftext|>Y <|ENDOFTEXT|> <|endoftext|>'s Z", "a\x0bb c\x1cd", "don't O'CLOCK 'S İstanbul ΑΣ", "3.5 ,,, ﬁ <|endoftext|>", "", " \n", "é ́ K å."]
     for text, ids in zip(texts, encoder.encode_all([t.encode() for t in texts]), strict=True):
-        assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(ids) == plain.encode(text, add_special_tokens=False).ids
         assert [i for part in encoder.encode(text.encode()) for i in part] == list(ids)
 
 
