@@ -41,7 +41,7 @@ def masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, packing.tokenizer_path()), docs.count())
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
 
 
 STAGES = [
