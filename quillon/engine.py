@@ -33,8 +33,7 @@ class Corpus:
         if mode != "bm25":
             vectors = self.vectors.join(allowed, "doc", "left_semi") if allowed is not None else self.vectors
             asked = questions.select("query", language.embed("text").alias("q"))
-            scored = vectors.crossJoin(F.broadcast(asked)).select("query", "doc", F.round(R.dot(F.col("v"), F.col("q")), 6).alias("score"))
-            lists.append(("dense", scored))
+            lists.append(("dense", R.dense(vectors, asked, max(k, 50), apart=False)))
         if len(lists) == 1:
             return R.top(lists[0][1], k)
         ranked = [R.top(scored, 50).select("query", F.lit(name).alias("list"), "doc", "rank", F.lit(1.0).alias("weight")) for name, scored in lists]

@@ -12,17 +12,40 @@ from pyspark.sql import functions as F
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+# How questions name years and stretches of time, and words that ask for what is new.
+_Y = "((?:19|20)[0-9]{2})"
+_RANGE, _SINCE, _AFTER = rf"\b(?:between|from)\s+{_Y}\s+(?:and|to|through|until|-)\s+{_Y}\b", rf"\bsince\s+{_Y}\b", rf"\bafter\s+{_Y}\b"
+_UPTO, _WITHIN = rf"\b(before|until|prior to)\s+{_Y}\b", rf"\b(?:in|during|of|throughout)\s+{_Y}\b"
+_PAST, _NAMED = r"\bthe\s+(?:past|last)\s+([0-9]+|a|one|two|three)\s+(year|month)s?\b", r"\b(last|this)\s+year\b"
+NEW = r"(?i)\b(?:latest|newest|most recent|recent(?:ly)?|current(?:ly)?|right now|nowadays|today|state[- ]of[- ]the[- ]art|up[- ]to[- ]date)\b"
+#: Days that a year and a month back count.
+BACK = {"year": 365, "month": 30}
+
+
 def time_window(question: Column, today: Column) -> tuple[Column, Column, Column]:
-    """Start, end and recency of the time that a question names; null where it is open."""
-    year = lambda pattern, group=1: F.regexp_extract(question, pattern, group).try_cast("int")
-    first, last = lambda y: F.make_date(y, F.lit(1), F.lit(1)), lambda y: F.make_date(y, F.lit(12), F.lit(31))
-    between, since, until, within, recent = (question.rlike(p) for p in (r"between \d{4} and \d{4}", r"(since|after) \d{4}", r"(before|until) \d{4}", r"\bin \d{4}", r"last \d+ years?"))
-    start = (
-        F.when(between, first(year(r"between (\d{4})"))).when(since, first(year(r"(since|after) (\d{4})", 2)))
-        .when(within, first(year(r"\bin (\d{4})"))).when(recent, F.add_months(today, -12 * year(r"last (\d+) year")))
-    )
-    stop = F.when(between, last(year(r"and (\d{4})"))).when(until, last(year(r"(before|until) (\d{4})", 2) - 1)).when(within, last(year(r"\bin (\d{4})"))).when(recent, today)
-    return start, stop, question.rlike(r"\b(latest|recent|newest|current)\b")
+    """Start, end and recency of the time that a question names; null where it is open. The first of the forms that fits tells it."""
+    low = F.lower(question)
+    begin, stop = lambda y: F.make_date(y, F.lit(1), F.lit(1)), lambda y: F.make_date(y, F.lit(12), F.lit(31))
+    never = F.lit(None).cast("date")
+
+    def read(form: str, group: int) -> Column:
+        return F.regexp_extract(low, form, group)
+
+    number = lambda form, group: read(form, group).try_cast("int")
+    written = F.when(read(_PAST, 1).isin("a", "one"), 1).when(read(_PAST, 1) == "two", 2).when(read(_PAST, 1) == "three", 3).otherwise(number(_PAST, 1))
+    days = written * F.when(read(_PAST, 2) == "year", BACK["year"]).otherwise(BACK["month"])
+    own = F.year(today) - F.when(read(_NAMED, 1) == "last", 1).otherwise(0)
+    forms = (
+        (_RANGE, begin(number(_RANGE, 1)), stop(number(_RANGE, 2))),
+        (_SINCE, begin(number(_SINCE, 1)), never),
+        (_AFTER, begin(number(_AFTER, 1) + 1), never),
+        (_UPTO, never, stop(number(_UPTO, 2) - F.when(read(_UPTO, 1) == "until", 0).otherwise(1))),
+        (_WITHIN, begin(number(_WITHIN, 1)), stop(number(_WITHIN, 1))),
+        (_PAST, F.date_sub(today, days), today),
+        (_NAMED, begin(own), stop(own)),
+    )
+    window = F.coalesce(*(F.when(low.rlike(form), F.struct(a.alias("a"), b.alias("b"))) for form, a, b in forms))
+    return window["a"], window["b"], question.rlike(NEW)
 
 
 _MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "september" else "sept?(?:ember)?" for m in MONTHS) + ")"

@@ -58,6 +58,16 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]"))
 
 
+# Abbreviations that end in a point but end no sentence.
+ABBREVIATIONS = "inc corp ltd co vs dr mr ms st no e.g i.e etc u.s approx fig".split()
+#: White space between sentences; what stands before it is no abbreviation.
+BREAK = r"(?U)(?<=[.!?])(?<!(?:^|\s)(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.{1,3})\s+(?=[A-Z0-9\"“(\[])"
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, BREAK, -1), lambda s: F.trim(s) != "")
+
+
 def normalize(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))
 

@@ -43,9 +43,12 @@ def verdict(coverage: Column, missing_numbers: Column, cited: Column, cited_cove
     )
 
 
-def claim_verdict(coverage: Column, n_missing: Column) -> Column:
-    """A claim with a number that the evidence lacks is never even partly right."""
-    return F.when((n_missing > 0) | (coverage < PARTIAL), "unsupported").when(coverage >= SUPPORTED, "supported").otherwise("partial")
+def claim_verdict(coverage: Column, n_numbers: Column, n_names: Column | None = None) -> Column:
+    """A claim with a number that the evidence lacks is never even partly right; of names, well covered claims may lack two for a part, others one."""
+    names = F.lit(0) if n_names is None else n_names
+    allowed = F.when(coverage >= SUPPORTED, 2).when(coverage >= PARTIAL, 1).otherwise(-1)
+    held = (n_numbers == 0) & (names <= allowed)
+    return F.when(~held, "unsupported").when((coverage >= SUPPORTED) & (names == 0), "supported").otherwise("partial")
 
 
 def rollup(claims):

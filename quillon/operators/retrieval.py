@@ -62,9 +62,93 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, doc, score for vectors(doc, v) against a bounded set of queries(query, q), which is broadcast."""
-    return vectors.join(F.broadcast(queries), F.col("doc") != F.col("query")).select("query", "doc", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+#: Query vectors that meet the stored vectors in one pass.
+BLOCK = 2048
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, apart: bool = True) -> DataFrame:
+    """query, doc, score of vectors(doc, v) for queries(query, q): the k best of each task, or all that score at least `least`.
+
+    Queries of any number are read in blocks of BLOCK, each sent to the stored vectors by itself, so that no task or broadcast holds more of them.
+    apart: a vector is no answer to the query of its own id. All vectors have one length."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.sharing import Shared
+
+    if (k is None) == (least is None):
+        raise ValueError("either k or least")
+    spark, names = vectors.sparkSession, ["query", "doc", "score"]
+    queries = queries.select("query", "q")
+    arrow = {"bigint": pa.int64(), "int": pa.int32()}
+    asks, answers = (arrow.get(t, pa.string()) for t in (dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]))
+    schema = f"query {dict(queries.dtypes)['query']}, doc {dict(vectors.dtypes)['doc']}, score double"
+    matrix = lambda column, n: column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+
+    def scan(block):
+        def run(batches):
+            asked, q = block.value()
+            held = ([], [], [])
+
+            def settled():
+                who, docs, score = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(held, (np.int64, object, float), strict=True))
+                order = np.lexsort((docs, -score, who)) if len(who) else np.zeros(0, np.int64)
+                who, docs, score = who[order], docs[order], score[order]
+                if k is not None:
+                    first = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    who, docs, score = who[first], docs[first], score[first]
+                for column, x in zip(held, (who, docs, score), strict=True):
+                    column[:] = [x]
+                return who, docs, score
+
+            def rows():
+                who, docs, score = settled()
+                return pa.RecordBatch.from_arrays([pa.array([asked[i] for i in who], asks), pa.array(list(docs), answers), pa.array(score)], names)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                docs = np.array(batch.column("doc").to_pylist(), object)
+                score = np.round(q @ matrix(batch.column("v"), batch.num_rows).T, 6)
+                if apart:
+                    place = {d: i for i, d in enumerate(docs)}
+                    for i, name in enumerate(asked):
+                        if name in place:
+                            score[i, place[name]] = -np.inf
+                if k is None:
+                    who, at = np.nonzero(score >= least)
+                else:
+                    floor = np.partition(score, -min(k, batch.num_rows), axis=1)[:, -min(k, batch.num_rows)]
+                    who, at = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                for column, x in zip(held, (who, docs[at], score[who, at]), strict=True):
+                    column.append(x)
+                if sum(map(len, held[0])) > 1_000_000:
+                    if k is None:
+                        yield rows()
+                        for column in held:
+                            column.clear()
+                    else:
+                        settled()
+            yield rows()
+
+        return run
+
+    found, held = None, []
+
+    def flush():
+        nonlocal found, held
+        if held:
+            block = Shared(spark, ([r["query"] for r in held], np.array([r["q"] for r in held], np.float64)))
+            part = vectors.select("doc", "v").mapInArrow(scan(block), schema)
+            found = part if found is None else found.unionByName(part)
+            held = []
+
+    for row in queries.toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            flush()
+    flush()
+    return found if found is not None else spark.createDataFrame([], schema)
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.catalogue import register
+from quillon.functions import text as T
+from quillon.operators import claims as checks
 from quillon.operators import communities, context, language, questions
 from quillon.operators import retrieval as R
 from quillon.plans.common import table
@@ -29,9 +31,13 @@ def page_markdown(spark, sf_dir):
 @register("page_chunks")
 def page_chunks(spark, sf_dir):
     parsed = html.documents(table(spark, sf_dir, "pages")).select("page_id", F.explode(language.chunked("doc.sections")).alias("c"))
-    from quillon.functions.text import chunk_id
+    return chunk_ids(parsed.select("page_id", "c.ordinal", "c.path", "c.text", "c.tokens"), "page_id").select("page_id", "ordinal", "path", "tokens", "chunk_id")
 
-    return parsed.select("page_id", "c.ordinal", "c.path", "c.tokens", chunk_id(F.col("page_id"), F.col("c.path"), F.col("c.text"), F.lit(0)).alias("chunk_id"))
+
+def chunk_ids(chunks, page):
+    """chunks(page, ordinal, path, text) with chunk_id: equal passages of a section are told apart by how many came before."""
+    before = F.row_number().over(Window.partitionBy(page, "path", T.normalize(F.col("text"))).orderBy("ordinal")) - 1
+    return chunks.withColumn("chunk_id", T.chunk_id(F.col(page), F.col("path"), F.col("text"), before))
 
 
 @register("document_codec", "SELECT doc_id, source, lang, n_chars FROM documents")
@@ -51,7 +57,7 @@ def dates(spark, sf_dir):
 
 @register("sentences")
 def sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(language.split_sentences("text")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 @register("hashed_embeddings")
@@ -90,14 +96,33 @@ def mmr_context(spark, sf_dir):
 
 @register("claims")
 def claims(spark, sf_dir):
-    """Each benchmark passage as an answer, checked against the documents that hold it best."""
+    """Each benchmark passage as an answer that cites the first of the documents that hold it best, checked against these."""
     docs = table(spark, sf_dir, "documents")
     index = R.postings(docs, "doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
     best = R.top(R.bm25(index, R.query_terms(items, "item_id", "text")), 3).select("query", "doc", "rank")
-    texts = best.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("E"), "rank").alias("name"), "text"))).alias("evidence"))
-    answers = items.select(F.col("item_id").alias("query"), F.col("text").alias("answer")).join(texts, "query")
-    return context.verify(answers).select("query", "claim", "verdict", F.round("coverage", 6).alias("coverage"))
+    piece = F.struct(F.concat(F.lit("E"), "rank").alias("name"), "text", F.lit("").alias("title"), "source")
+    texts = best.join(docs.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").groupBy("query").agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
+    answers = items.select(F.col("item_id").alias("query"), F.concat("text", F.lit(" [E1]")).alias("answer")).join(texts, "query")
+    return checks.verify(answers).select("query", "number", "claim", "verdict", F.round("coverage", 6).alias("coverage"), "cited_ok")
+
+
+_EVIDENCE = [
+    ("E1", "Acme released Turbo 3 on March 8, 2024. Turbo 3 comes in 9B and 60B parameter sizes.", "T", "S"),
+    ("E2", "Mixto is a sparse Mixture of Experts model released under the Apache 2.0 license.", "T", "S"),
+]
+_CLAIMED = [
+    (1, "Acme introduced Turbo 3 in March 2024 [E1].", "supported", True), (2, "Turbo 3 was released on May 2, 2024 [E1].", "unsupported", False), (3, "Turbo 3 has 305B parameters [E1].", "unsupported", False),
+    (4, "Mixto uses MoE under an Apache 2.0 license [E2].", "supported", True), (5, "Other Lab acquired Another Firm last year [E2].", "unsupported", False),
+    (6, "Turbo 3 comes in 9B and 60B sizes [E2].", "supported", False), (7, "Mixto is released under Apache 2.0", "supported", None),
+]
+
+
+@register("claim_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', '{'none' if ok is None else str(ok).lower()}')" for i, _, v, ok in _CLAIMED) + ") AS v(id, verdict, cited_ok)")
+def claim_verdicts(spark, sf_dir):
+    """Cases with a known outcome: a paraphrase, a wrong date, an invented number, an acronym for its words, an unrelated assertion, a citation of the wrong piece."""
+    rows = spark.createDataFrame([(i, text, _EVIDENCE) for i, text, _, _ in _CLAIMED], f"id int, answer string, evidence array<struct<{checks.READING.replace(' ', ':').replace(',:', ',')}>>")
+    return checks.verify(rows, "id").select("id", "verdict", F.coalesce(F.col("cited_ok").cast("string"), F.lit("none")).alias("cited_ok"))
 
 
 @register("louvain")

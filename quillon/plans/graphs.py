@@ -11,7 +11,7 @@ from quillon.plans.common import table
 # Node numbers: nations n, regions 100 + n, customers 1000 + n.
 _EDGES = """edges AS (
   SELECT n_nationkey::BIGINT AS id, n_nationkey::BIGINT AS src, 'PART_OF' AS rel, 100 + n_regionkey::BIGINT AS dst, 0.9::DOUBLE AS conf, true AS active, n_nationkey % 7 AS chunk FROM nation
-  UNION ALL SELECT 1000 + c_custkey, 1000 + c_custkey, 'IS_A', c_nationkey::BIGINT, 0.4::DOUBLE + (c_custkey % 6) / 10::DOUBLE, c_acctbal > 0, c_custkey % 50 FROM customer WHERE c_custkey < 600
+  UNION ALL SELECT 1000000000 + c_custkey, 1000 + c_custkey, 'IS_A', c_nationkey::BIGINT, 0.4::DOUBLE + (c_custkey % 6) / 10::DOUBLE, c_acctbal > 0, c_custkey % 50 FROM customer
   UNION ALL SELECT 100000 + s_suppkey, s_nationkey::BIGINT, 'PARTNERS_WITH', ((s_nationkey + s_suppkey) % 25)::BIGINT, 0.5::DOUBLE, s_acctbal > 0, s_suppkey % 50 FROM supplier WHERE (s_nationkey + s_suppkey) % 25 <> s_nationkey)"""
 
 
@@ -21,8 +21,8 @@ def _edges(spark, sf_dir):
         F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("src"), F.lit("PART_OF").alias("rel"), (100 + F.col("n_regionkey")).cast("long").alias("dst"),
         F.lit(0.9).alias("conf"), F.lit(True).alias("active"), (F.col("n_nationkey") % 7).cast("long").alias("chunk"),
     )
-    customer = table(spark, sf_dir, "customer").where("c_custkey < 600").select(
-        (1000 + F.col("c_custkey")).alias("id"), (1000 + F.col("c_custkey")).alias("src"), F.lit("IS_A").alias("rel"), F.col("c_nationkey").cast("long").alias("dst"),
+    customer = table(spark, sf_dir, "customer").select(
+        (1000000000 + F.col("c_custkey")).alias("id"), (1000 + F.col("c_custkey")).alias("src"), F.lit("IS_A").alias("rel"), F.col("c_nationkey").cast("long").alias("dst"),
         (0.4 + d(F.col("c_custkey") % 6) / 10).alias("conf"), (F.col("c_acctbal") > 0).alias("active"), (F.col("c_custkey") % 50).alias("chunk"),
     )
     other = (F.col("s_nationkey") + F.col("s_suppkey")) % 25
@@ -103,16 +103,18 @@ def community_report(spark, sf_dir):
     return sums.join(titles, "c")
 
 
-@register("shortest_path", "SELECT 2 AS n, true AS found")
-def shortest_path(spark, sf_dir):
-    """Customer 1000 + 1 to a nation's region: two steps."""
-    edges = _edges(spark, sf_dir)
-    return G.paths(edges, F.lit(1001).cast("long"), F.lit(100).cast("long") + _region_of(spark, sf_dir, 1)).select(F.size("path").alias("n"), F.lit(True).alias("found"))
+_STEPS = f"""{_EDGES}, st AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
+  goals AS (SELECT 100 + r_regionkey::BIGINT AS goal FROM region),
+  w AS (SELECT goal, y AS node, 1 AS n FROM goals JOIN st ON x = goal),
+  v AS (SELECT goal, st.y AS node, 2 AS n FROM w JOIN st ON x = node UNION SELECT * FROM w),
+  u AS (SELECT goal, st.y AS node, 3 AS n FROM v JOIN st ON x = node WHERE v.n = 2 UNION SELECT * FROM v)"""
 
 
-def _region_of(spark, sf_dir, customer):
-    row = table(spark, sf_dir, "customer").where(F.col("c_custkey") == customer).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey").first()
-    return F.lit(row[0] if row else 0).cast("long")
+@register("shortest_path", f"WITH {_STEPS} SELECT goal, node, min(n)::INT AS n FROM u WHERE node <> goal GROUP BY ALL")
+def shortest_path(spark, sf_dir):
+    """How many edges a shortest path of at most three has from every region to each node that it reaches."""
+    goals = table(spark, sf_dir, "region").select((100 + F.col("r_regionkey")).cast("long").alias("seed"))
+    return G.reach(_edges(spark, sf_dir), goals, 3).where("dist > 0").select(F.col("seed").alias("goal"), "node", F.col("dist").alias("n"))
 
 
 @register("timeline", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END, ''), o_orderstatus, o_orderkey)::INT AS position FROM orders")

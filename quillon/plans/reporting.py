@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalogue import register
 from quillon.functions import text as T
-from quillon.operators import language, relations, reports
+from quillon.operators import language, relations, reports, similarity
 from quillon.operators import retrieval as R
 from quillon.plans.common import sql, table, tokens_sql
 from quillon.sources import robots
@@ -104,12 +104,20 @@ def vector_codec(spark, sf_dir):
     return v.where("model = 'hashing-64'").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("dim").alias("dim"))
 
 
-@register("jaccard_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 60) a JOIN (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 60) b ON a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) > 0")
+_SETS = "sets AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type), ' ')) AS w FROM part)"
+
+
+@register("jaccard_pairs", f"WITH {_SETS} SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM sets a JOIN sets b ON a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) >= 0.8::DOUBLE * len(list_distinct(list_concat(a.w, b.w)))")
 def jaccard_pairs(spark, sf_dir):
-    """Set algebra on arrays, for a handful of sets."""
-    sets = table(spark, sf_dir, "part").where("p_partkey <= 60").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    a, b = sets.select(F.col("p_partkey").alias("a"), F.col("w").alias("x")), sets.select(F.col("p_partkey").alias("b"), F.col("w").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).where(F.arrays_overlap("x", "y")).select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+    """All pairs of parts whose words (name, brand, type) have a similarity of 0.8 and more: classes of equal sets, joined on their rarest words, and the pairs of their members."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), " ")))
+    sets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), words.alias("set"))
+    classes = sets.withColumn("rep", F.min("doc").over(Window.partitionBy("set")))
+    near = similarity.similar_pairs(classes, 0.8)
+    same = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    first, second = classes.select(F.col("rep").alias("a"), F.col("doc").alias("x")), classes.select(F.col("rep").alias("b"), F.col("doc").alias("y"))
+    pairs = near.unionByName(same).join(first, "a").join(second, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")

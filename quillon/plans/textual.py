@@ -262,21 +262,31 @@ def evidence_windows(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", F.lead("text").over(w)).alias("pair"))
 
 
-_PHRASES = [(1, "between 2021 and 2023"), (2, "since 2022"), (3, "before 2020"), (4, "in 2024"), (5, "last 3 years"), (6, "latest news"), (7, "how does it work")]
-_TODAY = "DATE '2026-06-01'"
+# Questions around a year y, what they mean by the rules of the forms, and whether they ask for what is new. {y}, {z}: the year and the one two after it.
+_PHRASES = [
+    (1, "What changed Between {y} and {z}?", "make_date(y, 1, 1)", "make_date(y + 2, 12, 31)", False), (2, "from {y} to {z}, who built chips?", "make_date(y, 1, 1)", "make_date(y + 2, 12, 31)", False),
+    (3, "Since {y}, which are the latest?", "make_date(y, 1, 1)", "NULL", True), (4, "what came after {y}", "make_date(y + 1, 1, 1)", "NULL", False), (5, "all before {y}", "NULL", "make_date(y - 1, 12, 31)", False),
+    (6, "prior to {y} or currently", "NULL", "make_date(y - 1, 12, 31)", True), (7, "valid until {y}", "NULL", "make_date(y, 12, 31)", False), (8, "released in {y}?", "make_date(y, 1, 1)", "make_date(y, 12, 31)", False),
+    (9, "the summer of {y}", "make_date(y, 1, 1)", "make_date(y, 12, 31)", False), (10, "over the past 3 months, order {y}", "DATE '2026-06-01' - 90", "DATE '2026-06-01'", False),
+    (11, "the last two years of order no. {y}", "DATE '2026-06-01' - 730", "DATE '2026-06-01'", False), (12, "last year, model {y}", "DATE '2025-01-01'", "DATE '2025-12-31'", False), (13, "this year: {y}", "DATE '2026-01-01'", "DATE '2026-12-31'", False),
+    (14, "the state of the art, part {y}", "NULL", "NULL", True), (15, "sinceforever {y} 12024", "NULL", "NULL", False),
+]
 
 
 @register(
     "date_phrases",
-    r"""SELECT id, CASE WHEN regexp_matches(q, 'between \d{4} and \d{4}') THEN make_date(regexp_extract(q, 'between (\d{4})', 1)::INT, 1, 1) WHEN regexp_matches(q, '(since|after) \d{4}') THEN make_date(regexp_extract(q, '(since|after) (\d{4})', 2)::INT, 1, 1) WHEN regexp_matches(q, '\bin \d{4}') THEN make_date(regexp_extract(q, 'in (\d{4})', 1)::INT, 1, 1) WHEN regexp_matches(q, 'last \d+ years?') THEN (DATE '2026-06-01' - to_years(regexp_extract(q, 'last (\d+) year', 1)::INT))::DATE END::VARCHAR AS start,
-    CASE WHEN regexp_matches(q, 'between \d{4} and \d{4}') THEN make_date(regexp_extract(q, 'and (\d{4})', 1)::INT, 12, 31) WHEN regexp_matches(q, '(before|until) \d{4}') THEN make_date(regexp_extract(q, '(before|until) (\d{4})', 2)::INT - 1, 12, 31) WHEN regexp_matches(q, '\bin \d{4}') THEN make_date(regexp_extract(q, 'in (\d{4})', 1)::INT, 12, 31) WHEN regexp_matches(q, 'last \d+ years?') THEN DATE '2026-06-01' END::VARCHAR AS stop,
-    regexp_matches(q, '\b(latest|recent|newest|current)\b') AS recency FROM (VALUES """ + ", ".join(f"({i}, '{q}')" for i, q in _PHRASES) + ") AS v(id, q)",
+    "SELECT id, y, CASE id " + " ".join(f"WHEN {i} THEN ({a})::DATE::VARCHAR" for i, _, a, _, _ in _PHRASES) + " END AS start, CASE id " + " ".join(f"WHEN {i} THEN ({b})::DATE::VARCHAR" for i, _, _, b, _ in _PHRASES)
+    + " END AS stop, id IN (" + ", ".join(str(i) for i, *_, r in _PHRASES if r) + ") AS recency FROM (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders), (VALUES " + ", ".join(f"({i})" for i, *_ in _PHRASES) + ") AS v(id)",
 )
 def date_phrases(spark, sf_dir):
+    """Each form about every year of an order; the SQL says what a form means and reads no question."""
     from quillon.functions.dates import time_window
 
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    forms = spark.createDataFrame([(i, q) for i, q, *_ in _PHRASES], "id int, form string")
+    asked = years.join(F.broadcast(forms)).withColumn("q", F.replace(F.replace("form", F.lit("{y}"), F.col("y").cast("string")), F.lit("{z}"), (F.col("y") + 2).cast("string")))
     start, stop, recency = time_window(F.col("q"), F.to_date(F.lit("2026-06-01")))
-    return spark.createDataFrame(_PHRASES, "id int, q string").select("id", start.cast("string").alias("start"), stop.cast("string").alias("stop"), recency.alias("recency"))
+    return asked.select("id", "y", start.cast("string").alias("start"), stop.cast("string").alias("stop"), recency.alias("recency"))
 
 
 @register("time_windows", "SELECT a, b, y AS from_year, y + (b - a + 1) // 2 - (CASE WHEN y = a THEN 1 ELSE 0 END) AS dummy FROM (SELECT a, b, unnest([a, a + (b - a + 1) // 2]) AS y FROM (VALUES (2018, 2023), (2020, 2021)) AS v(a, b))")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions.dates import dates
+from quillon.operators import claims as checks
 from quillon.operators import communities, context, frontier, graph, language, questions, safety
 from quillon.operators import retrieval as R
 from quillon.sources import html
@@ -84,18 +85,35 @@ def test_gazetteer():
     assert [m[0] for m in names.mentions("a fair one", lenient=True)] == ["fair"]
 
 
-def test_citations_and_claims():
-    assert language.citations("x【E2】 y (E2) z [E1, E3]") == "x[E2] y [E2] z [E1][E3]"
+def test_citations_and_claims(spark):
+    from pyspark.sql import functions as F
+
     answer = "**Heading**\n- (2024-01-02) Acme released the fast model in May [E1].\nThe knowledge base has nothing.\n| a | b |\n|---|---|\n| Acme model | costs 7 B dollars [E1] |\nShort one:"
-    assert [c.split(" [")[0] for c in language.claims(answer)] == ["Acme released the fast model in May", "Acme model - costs 7B dollars"]
+    cases = spark.createDataFrame([(1, "x【E2】 y (E2) z [E1, E3]"), (2, answer), (3, None), (4, "")], "id int, answer string")
+    assert cases.where("id = 1").select(checks.citations(F.col("answer"))).first()[0] == "x[E2] y [E2] z [E1][E3]"
+    assert spark.range(1).select(checks.uniform(F.lit("Mixture\u2011of\u2011Experts 8\u00d77 B"))).first()[0] == "Mixture-of-Experts 8x7B"
+    rows = checks.claims(cases.where("id > 1")).orderBy("id", "number").collect()
+    assert [(r.number, r.claim.split(" [")[0], r.cited) for r in rows] == [(1, "Acme released the fast model in May", ["E1"]), (2, "Acme model - costs 7B dollars", ["E1"])]
+
+
+def test_sentences_are_the_sequential_ones(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import text as T
+
+    odd = ["", " ", "Acme Inc. Was here. And e.g. This? No. 5 is! \"Yes.\" (so) U.S. Army (Inc. Next.", "Inc. Start", "a... B etc... C.  D"]
+    texts = odd + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.sentences(F.col("text")).alias("s")).collect()
+    for r in rows:
+        assert r.s == [x for _, _, x in language.sentences(texts[r.i]) if x.strip()], texts[r.i][:80]
+
 
+def test_repair(spark):
+    from pyspark.sql import functions as F
 
-def test_verdicts():
-    evidence = [("E1", "Acme released the fast model in May 2024. It has 70 billion parameters.")]
-    assert context.check("Acme released the fast model in May 2024", evidence)[0] == "supported"
-    assert context.check("Acme released the fast model in May 2023", evidence)[0] == "unsupported"
-    assert context.check("Nobody knows what happened elsewhere yesterday", evidence)[0] == "unsupported"
-    assert context.repair("- good line\n- bad claim here [E1]", ["bad claim here"]) == "- good line"
+    answer = "- good line [E1].\n- bad claim here [E1]\n| worse | thing [E2] |"
+    frame = spark.createDataFrame([(answer, ["bad claim here", "worse - thing"]), (answer, [])], "a string, bad array<string>")
+    assert [r[0] for r in frame.select(checks.repair(F.col("a"), F.col("bad"))).collect()] == ["- good line [E1].", answer]
 
 
 def test_context_selection():

@@ -28,7 +28,7 @@ def plain(value):
         value = value.tolist()
     if isinstance(value, list | tuple):
         return tuple(map(plain, value))
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
         return None
     if hasattr(value, "isoformat"):
         return str(pd.Timestamp(value))
