@@ -3,14 +3,16 @@
 Each task cuts its documents into shards of about BLOCK_BYTES. A shard's words become numbers (a word that no benchmark item
 has is 0, which never matches), and its suffixes that begin with a known word are sorted to the depth of a window. Every
 test suffix is then binary-searched in every shard: the range it bounds holds all places where its window occurs verbatim.
-Hits that follow each other on one diagonal join to the longest matches. No document leaves its task, so nothing is
-shuffled; a frequent passage is a wide range of one shard's array and costs what it covers.
+A text's longest match grows along its hits: of each place in the items that the window before held, the next word's place is held on.
+So a passage that many texts and many items share costs, at a time, its places in the items and not their pairs with its places in the texts. No document leaves its task, so
+nothing is shuffled; a frequent passage is a wide range of one shard's array and costs what it covers.
 
-Test items are read in slices of at most SLICE words, each broadcast by itself, so that a worker holds one slice at a time.
+Test items pass the driver in slices of at most SLICE words (or one item), each broadcast by itself and held by a worker by itself; what all slices take is the items' own size, on disk.
 
 Defined cases: null or empty texts have no words and no hits; an item without words has no window; one shorter than the
 window is a window by itself; items with the same id count once, null ids not at all in the list but their hits count;
-repeated documents are treated one by one; an empty table of documents gives an empty result, of items no hits.
+repeated documents are treated one by one; of equally long matches the first in the text counts, then the smallest item id (null last), then the first in the item; a very long text is a shard
+by itself; no other column is read unless it is kept, and kept ones have any name; an empty table of documents gives an empty result, of items no hits.
 """
 
 from __future__ import annotations
@@ -61,7 +63,16 @@ class Suite:
                         value = value << self.bits | (w[j] if j < len(w) else pad)
                     part[row, k] = value
         self.first = np.cumsum([0, *map(len, found.values())])
-        self.places = np.array([x for v in found.values() for x in v], np.int64).reshape(-1, 2)
+        # Places as numbers that count on through an item and leave one out between items.
+        starts = np.cumsum([0, *(len(text) + 1 for _, text in items)])
+        self.starts = starts[:-1]
+        self.places = np.array([starts[item] + at for v in found.values() for item, at in v], np.int64)
+        # The order of items by name, in which ties are settled.
+        self.order = np.empty(len(items), np.int64)
+        self.order[sorted(range(len(items)), key=lambda i: (self.names[i] is None, self.names[i] or ""))] = np.arange(len(items))
+
+    def items_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
 
 
 class SuffixArray:
@@ -114,6 +125,30 @@ def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+def longest_of(suite: Suite, at: np.ndarray, window: np.ndarray) -> tuple[int, str | None, int, int]:
+    """Words, item, begin in the text and begin in the item of the longest match of one text, from its hits in order of place. Windows of several lengths may begin at one place."""
+    best, key = (0, None, 0, 0), None
+    for length in np.unique(suite.length[window]):
+        own = suite.length[window] == length
+        before, begins, last = np.zeros(0, np.int64), np.zeros(0, np.int64), -2
+        for a, w in zip(at[own].tolist(), window[own].tolist(), strict=True):
+            places = suite.places[suite.first[w] : suite.first[w + 1]]
+            started = np.full(len(places), a)
+            if a == last + 1 and len(before):
+                i = np.minimum(np.searchsorted(before, places - 1), len(before) - 1)
+                started = np.where(before[i] == places - 1, begins[i], a)
+            before, begins, last = places, started, a
+            size = a + int(length) - started
+            if size.max() >= best[0]:
+                for i in np.flatnonzero(size == size.max()).tolist():
+                    item = int(suite.items_of(places[i]))
+                    mine = (-int(size[i]), int(started[i]), int(suite.order[item]), int(places[i] - suite.starts[item]) - (a - int(started[i])))
+                    if key is None or mine < key:
+                        key = mine
+                        best = (int(size[i]), suite.names[item], mine[1], mine[3])
+    return best
+
+
 def search(texts: list[list[bytes]], suites: Iterator[Suite]) -> tuple[np.ndarray, list[set], list[tuple]]:
     """For each text: how many of its words are hit, the ids of items that occur, and its longest match (words, item id, word in the text, word in the item)."""
     sizes = np.array([len(w) + 1 for w in texts], np.int64)
@@ -132,33 +167,31 @@ def search(texts: list[list[bytes]], suites: Iterator[Suite]) -> tuple[np.ndarra
         window = np.repeat(np.arange(len(begin)), end - begin)
         np.add.at(hit, at, 1)
         np.add.at(hit, at + suite.length[window], -1)
-        # Every place of the window in the items, for every place in the texts.
-        first, last = suite.first[window], suite.first[window + 1]
-        place = suite.places[ranges(first, last)]
-        at, length = np.repeat(at, last - first), np.repeat(suite.length[window], last - first)
+        sort = np.argsort(at, kind="stable")
+        at, window = at[sort], window[sort]
         text = np.searchsorted(ends, at, "right")
-        sort = np.lexsort((at, at - place[:, 1], place[:, 0], text))
-        at, place, text, length = at[sort], place[sort], text[sort], length[sort]
-        start = np.ones(len(at), bool)
-        start[1:] = (np.diff(text) != 0) | (np.diff(place[:, 0]) != 0) | (np.diff(at) != 1) | (np.diff(place[:, 1]) != 1)
-        runs = np.flatnonzero(start)
-        for r, n in zip(runs.tolist(), (np.diff(np.append(runs, len(at))) - 1 + length[runs]).tolist(), strict=True):
-            t, name = int(text[r]), suite.names[place[r, 0]]
-            if name is not None:
-                items[t].add(name)
-            if n > longest[t][0]:
-                longest[t] = (n, name, int(at[r] - ends[t] + sizes[t]), int(place[r, 1]))
+        for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(text)) + 1):
+            t = int(text[rows[0]])
+            held = np.zeros(len(suite.names), bool)
+            for w in np.unique(window[rows]):
+                held[suite.items_of(suite.places[suite.first[w] : suite.first[w + 1]])] = True
+            items[t] |= {suite.names[i] for i in np.flatnonzero(held).tolist()} - {None}
+            n, name, begin, item_begin = longest_of(suite, at[rows], window[rows])
+            found = (n, name, int(begin - ends[t] + sizes[t]), item_begin)
+            rank = lambda m: (-m[0], m[2], m[1] is None, m[1] or "", m[3])
+            if longest[t][0] == 0 or rank(found) < rank(longest[t]):
+                longest[t] = found
     marked = np.cumsum(hit[:-1]) > 0
     counts = np.add.reduceat(marked, ends - sizes) if total else np.zeros(0, np.int64)
     return counts, items, longest
 
 
-def suites(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text") -> list:
-    """Broadcasts of the test items, each of at most SLICE words or one item."""
+def suites(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text", most: int = SLICE) -> list:
+    """Broadcasts of the test items, each of at most `most` words or one item."""
     out, held, size = [], [], 0
     for row in benchmark.select(F.col(key).cast("string"), F.encode(text, "UTF-8")).toLocalIterator():
         found = words(bytes(row[1] or b""))
-        if held and size + len(found) > SLICE:
+        if held and size + len(found) > most:
             out.append(Shared(spark, Suite(held, window)))
             held, size = [], 0
         held.append((row[0], found))
@@ -169,9 +202,9 @@ def suites(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, key:
 FIELDS = "n_words long, n_hit long, n_items long, items array<string>, longest long, longest_item string, longest_at long, longest_item_at long"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep: bool = False, most: int = SLICE) -> DataFrame:
     """What of the test items each document holds; with keep, beside the document's own columns, in place of its key alone."""
-    tests = suites(docs.sparkSession, benchmark, window)
+    tests = suites(docs.sparkSession, benchmark, window, most=most)
     names = [x.split()[0] for x in FIELDS.split(", ")]
     given = docs.columns if keep else [key]
     own = [f"_{i}" for i in range(len(given))]
@@ -194,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: st
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_item", "longest_at", "longest_item_at")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -206,6 +239,11 @@ bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g FR
 dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
 hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+bp AS (SELECT item_id, i - 1 AS j, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT item_id, ws, least(len(ws), {WINDOW}) AS n, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+runs AS (SELECT doc_id, item_id, j - i AS diagonal, i, j, n, i - row_number() OVER (PARTITION BY doc_id, item_id, n, j - i ORDER BY i) AS island FROM dw JOIN bp USING (n, g)),
+long AS (SELECT doc_id, item_id::VARCHAR AS item, min(i) - 1 AS at, min(j) AS item_at, count(*) + any_value(n) - 1 AS words FROM runs GROUP BY doc_id, item_id, n, diagonal, island),
+best AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, at, item, item_at) = 1),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items FROM hits GROUP BY doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+coalesce(best.words, 0)::BIGINT AS longest, best.item AS longest_item, best.at::BIGINT AS longest_at, best.item_at::BIGINT AS longest_item_at
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)"""

@@ -5,11 +5,13 @@ codeword of a text; decoding sums, over the bits, the logistic loss that a langu
 well the bit was learned, and chooses the language of least loss. A text whose two best languages are close is flagged.
 
 For up to 7 languages the code is exhaustive (every split of the languages is a bit); beyond, bits are drawn by a keyed
-hash. The classifiers learn from at most about PER_LANGUAGE labelled texts a language, chosen by a hash of the document id.
+hash, as many as BITS_BEYOND and BITS_EACH an octave of languages, no two of them equal or opposite, and drawn again until every two codewords differ in at least a quarter
+of them. There is a codeword for every language that is learned, however many. The classifiers learn from at most PER_LANGUAGE labelled texts a language, fewer if all
+would take over TRAIN_BYTES, chosen by a hash of the document id and the text; a task trains on these alone.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; an empty text has no letter; without any
 labelled text all are `und`; with one language every text with a letter gets it; null labels are not learned; repeated rows are scored one by
-one; an empty table gives an empty result.
+one and learned from once; of equally near languages the first by name is taken; a very long text is hashed whole, in a block of its own; columns of any name stay beside the new ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blocks, documents, remainder
@@ -26,8 +28,11 @@ from quillon.llm.ngrams import hashed
 
 ORDERS, FEATURE_BITS = range(1, 4), 13
 PER_LANGUAGE = 600
-LANGUAGES = 500
-BITS_BEYOND = 63
+#: Bytes of the training texts' vectors, at most.
+TRAIN_BYTES = 384 << 20
+BITS_BEYOND, BITS_EACH = 63, 16
+#: Training texts that are multiplied at once.
+BATCH = 4096
 STEPS = 60
 #: A text is flagged if the chosen language's share is below this.
 SURE = 0.5
@@ -39,9 +44,28 @@ def codewords(n: int) -> np.ndarray:
     """A row of -1 and 1 for each of n languages."""
     if n <= 7:
         return np.array([[1 if language == 0 else 1 - 2 * (bit >> (language - 1) & 1) for bit in range(1, 1 << (n - 1))] for language in range(n)], np.float32).reshape(n, -1)
-    key = np.arange(n * BITS_BEYOND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    key ^= key >> np.uint64(31)
-    return np.where((key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.float32).reshape(n, -1)
+    bits = max(BITS_BEYOND, BITS_EACH * (n - 1).bit_length())
+    for turn in range(100):
+        chosen, seen, at = [], set(), 0
+        while len(chosen) < bits:
+            column = _drawn(n, turn << 20 | at)
+            at += 1
+            column = column if column[0] else ~column  # a split and its opposite are one
+            if column.all() or (name := column.tobytes()) in seen:
+                continue
+            seen.add(name)
+            chosen.append(column)
+        code = np.where(np.stack(chosen, 1), 1, -1).astype(np.float32)
+        if all((np.sort(code[i : i + 512] @ code.T, axis=1)[:, -2] <= bits / 2).all() for i in range(0, n, 512)):
+            return code
+    raise ValueError(f"no code of {bits} bits for {n} languages")
+
+
+def _drawn(n: int, number: int) -> np.ndarray:
+    """A pseudo-random bit for each of n languages."""
+    key = (np.arange(n, dtype=np.uint64) + np.uint64(number * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((key ^ key >> np.uint64(29)) >> np.uint64(40) & np.uint64(1)).astype(bool)
 
 
 def vector(text: str) -> np.ndarray:
@@ -50,20 +74,25 @@ def vector(text: str) -> np.ndarray:
 
 
 def train(vectors: np.ndarray, labels: np.ndarray, languages: list[str]) -> dict:
-    """One logistic regression a bit, all at once, by accelerated gradient steps; a bit's weight is its training accuracy above chance."""
+    """One logistic regression a bit, all at once, by accelerated gradient steps over batches; a bit's weight is its training accuracy above chance."""
     code = codewords(len(languages))
-    target = code[labels]
     counts = np.bincount(labels, minlength=len(languages))
-    share = (len(labels) / len(languages) / counts[labels]).astype(np.float32)[:, None]
+    share = (1 / np.maximum(1, (counts > 0).sum()) / counts[labels]).astype(np.float32)[:, None]
     weights = np.zeros((vectors.shape[1], code.shape[1]), np.float32)
     ahead, bias = weights.copy(), np.zeros(code.shape[1], np.float32)
+    parts = [slice(i, i + BATCH) for i in range(0, len(labels), BATCH)]
     for step in range(STEPS):
-        margin = np.clip((vectors @ ahead + bias) * target, -30, 30)
-        slope = -target / (1 + np.exp(margin)) * share / len(labels)
-        after = ahead - 8.0 * (vectors.T @ slope + 1e-5 * ahead)
-        bias -= slope.sum(0)
+        slope, slope_bias = 1e-5 * ahead, np.zeros_like(bias)
+        for part in parts:
+            v, target = vectors[part].astype(np.float32), code[labels[part]]
+            margin = np.clip((v @ ahead + bias) * target, -30, 30)
+            each = -target / (1 + np.exp(margin)) * share[part]
+            slope += v.T @ each
+            slope_bias += each.sum(0)
+        after = ahead - 8.0 * slope
+        bias -= slope_bias
         ahead, weights = after + step / (step + 3) * (after - weights), after
-    right = ((vectors @ weights + bias) * target > 0).mean(0) if len(labels) else np.zeros(code.shape[1])
+    right = sum((((vectors[p].astype(np.float32) @ weights + bias) * code[labels[p]]) > 0).sum(0) for p in parts) / max(1, len(labels)) if parts else np.zeros(code.shape[1])
     return {"languages": languages, "code": code, "weights": weights, "bias": bias, "trust": np.clip(2 * right - 1, 0.05, 1).astype(np.float32)}
 
 
@@ -80,18 +109,23 @@ def decode(model: dict, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """A model learned from labelled(key, text, lang). One task trains it, on a bounded sample; None if there is nothing to learn from."""
     spark = labelled.sparkSession
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # Rows alike share a chance and are learned once.
+    chance = F.pmod(F.xxhash64(F.lit(7), "key", F.crc32(F.encode("text", "UTF-8"))), F.lit(1 << 40)) / float(1 << 40)
+    labelled = labelled.withColumn("chance", chance)
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("chance").alias("count")).collect()
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
-    rates = spark.createDataFrame([(r["lang"], languages.index(r["lang"]), float(min(1.0, per_language / r["count"]))) for r in counts], "lang string, number int, rate double")
-    chance = F.pmod(F.xxhash64(F.lit(7), "key", F.crc32(F.encode("text", "UTF-8"))), F.lit(1 << 24)) / float(1 << 24)
-    sample = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate"))
+    number = {name: i for i, name in enumerate(languages)}
+    width = 2 << FEATURE_BITS
+    most = max(1, min(per_language, TRAIN_BYTES // (width * len(languages))))
+    rates = spark.createDataFrame([(r["lang"], number[r["lang"]], float(min(1.0, 1.5 * (most + 8) / r["count"]))) for r in counts], "lang string, number int, rate double")
+    sample = labelled.join(F.broadcast(rates), "lang").where(F.col("chance") < F.col("rate"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text"):
             found = [vector(x or "").astype(np.float16).tobytes() for x in table.column("text").to_pylist()]
-            yield from pa.table([table.column("number"), pa.array(found, pa.binary())], ["number", "vector"]).to_batches(max_chunksize=256)
+            yield from pa.table([table.column("number"), table.column("chance"), pa.array(found, pa.binary())], ["number", "chance", "vector"]).to_batches(max_chunksize=256)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
@@ -99,13 +133,15 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
         numbers, vectors = [], []
         for batch in batches:
             numbers += batch.column("number").to_pylist()
-            vectors += [np.frombuffer(x, np.float16) for x in batch.column("vector").to_pylist()]
+            vectors.append(np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float16).reshape(batch.num_rows, -1))
         if not numbers:
             return
-        model = train(np.array(vectors).astype(np.float32), np.array(numbers), languages)
+        model = train(np.concatenate(vectors), np.array(numbers), languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    rows = sample.select("number", "text").mapInArrow(featured, "number int, vector binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    once = sample.select("number", "chance", "text").mapInArrow(featured, "number int, chance double, vector binary").groupBy("number", "chance").agg(F.min("vector").alias("vector"))
+    bounded = once.withColumn("r", F.row_number().over(Window.partitionBy("number").orderBy("chance"))).where(F.col("r") <= most)
+    rows = bounded.select("number", "vector").repartition(1).mapInArrow(learn, "model binary").collect()
     if not rows:
         return None
     import pickle

@@ -6,13 +6,18 @@ a telephone number one that could be dialled, an e-mail address another local pa
 depends on the key and the value alone, so that equal values stay equal in all documents, and different ones different.
 Its round function is SHA-256 over the key, the format, the round and the other half.
 
+A date with slashes is read month first, unless its first number is over 12: then it is read day first, and becomes a date whose day is over 12, which no one
+reads month first. The other forms of dates are linked with each other.
+
+The key is joined on as a column, from a table of one row, so that plans and event logs hold no key.
+
 Values are found by one pattern, left to right. What looks like a value but fails its check (a Luhn sum, an IBAN's
 remainder, a day that no month has, an octet over 255) stays as it is. Separators and the case of letters stay. An IBAN ends
 at its country's length. Digits in groups are taken as one run, whatever its length; where its longest card fails, shorter
 ones and later ones, of whole groups, are tried in the lengths that issuers use.
 
-Defined cases: a null text stays null, an empty one empty, and both hold nothing; repeated rows are treated alike; an empty
-table gives an empty result; columns of any name stay beside the new ones.
+Defined cases: a null text stays null, an empty one empty, and both hold nothing; repeated rows are treated alike; where two kinds of value could begin at one place, the first of KINDS is taken; a text of any length is one row's
+expression; an empty table gives an empty result; columns of any name stay beside the new ones.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import documents, fresh
 
 ROUNDS = 8
+#: The setting that the query takes its key from; Spark hides settings of this name in its logs.
+KEY_SETTING = "spark.quillon.pseudonym.secret"
 WALK = 64
 #: Dates lie in the years 1900 to 2099: the first day, and the number of days.
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -49,9 +56,9 @@ ANY = "|".join((EMAIL, IBAN, DATE, SSN, IP, PHONE, CARD))
 KINDS = ("email", "iban", "date", "ssn", "ip", "phone", "card")
 
 
-def prf(key: str, kind: str, turn: Column, *parts: Column) -> Column:
+def prf(key: Column, kind: str, turn: Column, *parts: Column) -> Column:
     """A keyed number below 2**60."""
-    text = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), *(p.cast("string") for p in parts))
+    text = F.concat_ws("|", key, F.lit(kind), turn.cast("string"), *(p.cast("string") for p in parts))
     return F.conv(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 15), 16, 10).cast("long")
 
 
@@ -60,7 +67,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def mix(values: Column, sizes: Column, key: str, kind: str) -> Column:
+def mix(values: Column, sizes: Column, key: Column, kind: str) -> Column:
     """Permutes arrays of numbers, values[i] below sizes[i]: halves take turns to be shifted by what the other one says."""
 
     def shifted(side: Column, other: Column, radix: Column, turn: Column) -> Column:
@@ -84,8 +91,9 @@ def mix(values: Column, sizes: Column, key: str, kind: str) -> Column:
     return let(F.struct(values.alias("v"), sizes.alias("s")), run)
 
 
-def permute(number: Column, n: int, key: str, kind: str) -> Column:
-    """Permutes 0 to n - 1: a network over two digits to base ceil(sqrt(n)), walked until the result is below n again."""
+def permute(number: Column, n: int, key: Column, kind: str, also=None) -> Column:
+    """Permutes 0 to n - 1, or those of them for which also(number) holds: a network over two digits to base ceil(sqrt(n)), walked until the result is one of them again."""
+    inside = lambda x: (x < n) if also is None else (x < n) & also(x)
     base = int(n**0.5) + (int(n**0.5) ** 2 < n)
 
     def once(x: Column) -> Column:
@@ -96,8 +104,8 @@ def permute(number: Column, n: int, key: str, kind: str) -> Column:
         start = F.struct(F.floor(x / base).cast("long").alias("a"), F.pmod(x, F.lit(base)).cast("long").alias("b"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["a"] * base + s["b"])
 
-    ended = lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
-    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+    ended = lambda x: F.when(inside(x), x).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(x), lambda y, _: F.when(inside(y), y).otherwise(once(y)))
     return let(number.cast("long"), lambda x: let(walk(x), ended))
 
 
@@ -125,7 +133,7 @@ def luhn(values: Column) -> Column:
     return F.aggregate(doubled, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def card(text: Column, key: str) -> Column:
+def card(text: Column, key: Column) -> Column:
     def made(d: Column) -> Column:
         inner = let(F.slice(d, 2, F.size(d) - 2), lambda x: mix(x, same(x, 10), key, "card"))
         checked = lambda body: refill(text, F.concat(body, F.array(F.pmod(-luhn(F.concat(body, F.array(F.lit(0).cast("long")))), F.lit(10)).cast("long"))))
@@ -134,7 +142,7 @@ def card(text: Column, key: str) -> Column:
     return let(digits(text), made)
 
 
-def cards(text: Column, key: str) -> Column:
+def cards(text: Column, key: Column) -> Column:
     """value and n: a run of digits with its cards permuted, and how many there are; null if there are none."""
 
     def windows(groups: Column) -> Column:
@@ -183,7 +191,7 @@ def remainder97(c: Column) -> Column:
     return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: F.pmod(F.when(x.rlike("[0-9]"), s * 10).otherwise(s * 100) + value(x), F.lit(97)))
 
 
-def recast(c: Column, key: str, kind: str) -> Column:
+def recast(c: Column, key: Column, kind: str) -> Column:
     """Permutes an array of characters: digits, capital and small letters among their like, others stay."""
     base = lambda x: F.when(x.rlike("[0-9]"), 48).when(x.rlike("[A-Z]"), 65).when(x.rlike("[a-z]"), 97).otherwise(F.ascii(x)).cast("long")
     size = lambda x: F.when(x.rlike("[0-9]"), 10).when(x.rlike("[A-Za-z]"), 26).otherwise(1).cast("long")
@@ -191,7 +199,7 @@ def recast(c: Column, key: str, kind: str) -> Column:
     return let(own, lambda o: F.zip_with(o, mix(o["v"], o["s"], key, kind), lambda x, m: F.char(x["b"] + m)))
 
 
-def iban(text: Column, key: str) -> Column:
+def iban(text: Column, key: Column) -> Column:
     def spaced(made: Column) -> Column:
         step = lambda s, c: F.when(c == " ", F.struct(F.concat(s["t"], c).alias("t"), s["n"].alias("n"))).otherwise(F.struct(F.concat(s["t"], F.element_at(made, s["n"] + 1)).alias("t"), (s["n"] + 1).alias("n")))
         return F.aggregate(chars(text), F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), step, lambda s: s["t"])
@@ -205,17 +213,24 @@ def iban(text: Column, key: str) -> Column:
     return let(chars(F.regexp_replace(text, " ", "")), made)
 
 
-def email(text: Column, key: str) -> Column:
+def single(c: Column, key: Column, kind: str) -> Column:
+    """Permutes one character among its like; a network of halves would only shift it."""
+    moved = lambda base, n: F.char(permute(F.ascii(c) - base, n, key, kind) + base)
+    return F.when(c.rlike("[0-9]"), moved(48, 10)).when(c.rlike("[A-Z]"), moved(65, 26)).when(c.rlike("[a-z]"), moved(97, 26)).otherwise(c)
+
+
+def email(text: Column, key: Column) -> Column:
     local = F.substring_index(text, "@", 1)
-    return F.concat(F.array_join(recast(chars(local), key, "email"), ""), F.lit("@"), F.substring_index(text, "@", -1))
+    moved = F.when(F.length(local) == 1, single(local, key, "email")).otherwise(F.array_join(recast(chars(local), key, "email"), ""))
+    return F.concat(moved, F.lit("@"), F.substring_index(text, "@", -1))
 
 
-def ip(text: Column, key: str) -> Column:
+def ip(text: Column, key: Column) -> Column:
     octets = F.transform(F.split(text, r"\."), lambda x: x.cast("long"))
     return let(octets, lambda o: F.when(F.forall(o, lambda x: x < 256), F.array_join(mix(o, same(o, 256), key, "ip").cast("array<string>"), ".")))
 
 
-def phone(text: Column, key: str) -> Column:
+def phone(text: Column, key: Column) -> Column:
     """The country's 1, if there, stays; the area and the exchange begin with 2 to 9."""
     lowest = lambda i: F.when((i == 0) | (i == 3), 2).otherwise(0).cast("long")
 
@@ -227,7 +242,7 @@ def phone(text: Column, key: str) -> Column:
     return let(digits(text), made)
 
 
-def ssn(text: Column, key: str) -> Column:
+def ssn(text: Column, key: Column) -> Column:
     def made(p: Column) -> Column:
         area, group, serial = p[0], p[1], p[2]
         valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -241,25 +256,28 @@ def ssn(text: Column, key: str) -> Column:
     return let(F.transform(F.split(text, "-"), lambda x: x.cast("long")), made)
 
 
-def date(text: Column, key: str) -> Column:
-    """Year first, or day first with dots, or month first with slashes; equal days give equal days in all of them."""
+def date(text: Column, key: Column) -> Column:
+    """Year first, or day first with dots, or month first with slashes; equal days give equal days in all of them. Day first with slashes are dates of their own."""
     part = lambda a, b, c: F.concat_ws("-", F.substring(text, *a), F.substring(text, *b), F.substring(text, *c))
     first, dots = text.rlike("^.{4}[-/]"), text.contains(".")
-    iso = F.when(first, part((1, 4), (6, 2), (9, 2))).when(dots, part((7, 4), (4, 2), (1, 2))).otherwise(part((7, 4), (1, 2), (4, 2)))
+    late = ~first & ~dots & (F.substring(text, 1, 2) > "12")
+    iso = F.when(first, part((1, 4), (6, 2), (9, 2))).when(dots | late, part((7, 4), (4, 2), (1, 2))).otherwise(part((7, 4), (1, 2), (4, 2)))
     start = F.to_date(F.lit(FIRST_DAY))
+    day_of = lambda n: F.date_add(start, n.cast("int"))
 
     def written(d: Column) -> Column:
         y, m, day = F.substring(d, 1, 4), F.substring(d, 6, 2), F.substring(d, 9, 2)
-        return F.when(text.contains("-"), d).when(first, F.concat_ws("/", y, m, day)).when(dots, F.concat_ws(".", day, m, y)).otherwise(F.concat_ws("/", m, day, y))
+        return F.when(text.contains("-"), d).when(first, F.concat_ws("/", y, m, day)).when(dots, F.concat_ws(".", day, m, y)).when(late, F.concat_ws("/", day, m, y)).otherwise(F.concat_ws("/", m, day, y))
 
-    moved = lambda n: F.when(n.between(0, DAYS - 1), let(F.date_add(start, permute(n, DAYS, key, "date").cast("int")).cast("string"), written))
+    other = lambda n: permute(n, DAYS, key, "date, day first", lambda x: F.dayofmonth(day_of(x)) > 12)
+    moved = lambda n: F.when(n.between(0, DAYS - 1), let(day_of(F.when(late, other(n)).otherwise(permute(n, DAYS, key, "date"))).cast("string"), written))
     return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start), moved)
 
 
 MAKERS = {"email": (EMAIL, email), "iban": (IBAN, iban), "date": (DATE, date), "ssn": (SSN, ssn), "ip": (IP, ip), "phone": (PHONE, phone), "card": (CARD, cards)}
 
 
-def pseudonym(text: Column, key: str) -> Column:
+def pseudonym(text: Column, key: Column) -> Column:
     """kind, value of the pseudonym, and n, how many values it holds (more than 1 only for cards); null if the check does not hold. No value fits two of the patterns."""
     made = None
     for kind, (pattern, make) in MAKERS.items():
@@ -274,17 +292,20 @@ def pseudonym(text: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with clean (the text with pseudonyms) and kinds (array of the kinds found, in order), each name with a _ more if it is taken."""
-    clean, kinds, found = fresh(docs.columns, "clean", "kinds", "found")
+    clean, kinds, found, secret, one = fresh(docs.columns, "clean", "kinds", "found", "secret", "one")
     source = F.col(f"`{text}`")
-    matches = F.when(source.rlike(ANY), F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    owner = docs.sparkSession.createDataFrame([(1, key)], f"`{one}` int, `{secret}` string")
+    docs = docs.withColumn(one, F.lit(1)).join(F.broadcast(owner), one)
+    key = F.col(secret)
+    matches = F.regexp_extract_all(source, F.lit(ANY), F.lit(0))
     mapped = docs.withColumn(found, F.when(source.isNotNull(), F.transform(matches, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))))
     gaps = F.split(source, ANY, -1)
     rebuilt = F.array_join(F.zip_with(gaps, F.transform(found, lambda x: F.coalesce(x["p"]["value"], x["m"])), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
     whole = F.when(F.size(found) > 0, rebuilt).otherwise(source)
-    return mapped.withColumns({clean: whole, kinds: F.flatten(F.transform(F.filter(found, lambda x: x["p"].isNotNull()), lambda x: F.array_repeat(x["p"]["kind"], x["p"]["n"])))}).drop(found)
+    return mapped.withColumns({clean: whole, kinds: F.flatten(F.transform(F.filter(found, lambda x: x["p"].isNotNull()), lambda x: F.array_repeat(x["p"]["kind"], x["p"]["n"])))}).drop(found, secret, one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), key="a key that only the owner knows")
+    out = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), key=spark.conf.get(KEY_SETTING, "a key for trials"))
     count = lambda kind: F.coalesce(F.size(F.filter("kinds", lambda k: k == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", F.col("clean").alias("text"), *map(count, KINDS))

@@ -5,11 +5,12 @@ sum(p + 1)) - log((q(f) + 1) / sum(q + 1)), where p and q count the toxic and ot
 regression learns weights for the scaled features. Features of too few training texts (10, fewer if there
 are few texts) are left out.
 
-It learns from at most PER_CLASS labelled texts a class, those with the smallest hash of the document id.
+It learns from at most PER_CLASS labelled texts a class, those with the smallest hash of the document id, as far as their features take SAMPLE_BYTES a class.
 
 Defined cases: null and empty texts are scored on the bias alone; a document that is labelled more than once counts as toxic
 if any label says so; null labels are not learned; without labels of both classes every score is the share of toxic labels
-(0.5 without any); repeated rows are scored one by one; an empty table gives an empty result.
+(0.5 without any); repeated rows are scored one by one, and of the rows that share an id one is learned from, that of the smallest hash of its features; texts without a feature in common score alike; a very long text is hashed whole, in a block of
+its own; columns of any name stay beside the new ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blocks, documents, fresh, remainder
 from quillon.llm.ngrams import hashed, present
 
 ORDERS, FEATURE_BITS = range(4, 8), 20
-PER_CLASS = 2000
+PER_CLASS, SAMPLE_BYTES = 2000, 192 << 20
 STEPS = 60
 LEAST_TEXTS = 10
 #: Features whose log-count ratio lies nearer to 0 are left out; strength of the penalty on squared weights.
@@ -70,23 +71,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chance = F.xxhash64(F.lit(10), "doc_id")
     sample = [known.where(F.col("toxic") == c).orderBy(chance, "doc_id").limit(per_class) for c in (True, False)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").select("toxic", "doc_id", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(1 << FEATURE_BITS, np.int32)
         for table in blocks(batches, "text"):
             found = [present(hashed(x or "", ORDERS, FEATURE_BITS), last).tobytes() for x in table.column("text").to_pylist()]
-            yield from pa.table([table.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"]).to_batches(max_chunksize=256)
+            yield from pa.table([table.column("toxic"), table.column("doc_id"), pa.array(found, pa.binary())], ["toxic", "doc_id", "features"]).to_batches(max_chunksize=64)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, features = [], []
+        toxic, features, taken = [], [], {True: 0, False: 0}
         for batch in batches:
-            toxic += batch.column("toxic").to_pylist()
-            features += [np.frombuffer(x, np.int32) for x in batch.column("features").to_pylist()]
+            for label, data in zip(batch.column("toxic").to_pylist(), batch.column("features").to_pylist(), strict=True):
+                if taken[label] + len(data) <= SAMPLE_BYTES:
+                    toxic.append(label)
+                    features.append(np.frombuffer(data, np.int32))
+                    taken[label] += len(data)
         model = train(features, np.array(toxic, bool))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.mapInArrow(featured, "toxic boolean, features binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("features")))
+    each = rows.mapInArrow(featured, f"toxic boolean, doc_id {kind}, features binary").withColumn("r", one).where(F.col("r") == 1)
+    found = each.repartition(1).sortWithinPartitions(chance, "doc_id").select("toxic", "features").mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, bool))
 
 

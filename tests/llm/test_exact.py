@@ -253,7 +253,7 @@ def test_pseudonyms_of_values_beside_others(spark):
 def test_date_permutation(spark):
     from pyspark.sql import functions as F
 
-    found = spark.range(300).select(pseudonyms.permute(F.col("id"), 300, "k", "x").alias("p")).collect()
+    found = spark.range(300).select(pseudonyms.permute(F.col("id"), 300, F.lit("k"), "x").alias("p")).collect()
     assert sorted(r.p for r in found) == list(range(300))
 
 
@@ -430,3 +430,116 @@ def test_toxicity_learns(spark):
     model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
     rows = toxicity.predict(frame, model).collect()
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in rows if r.doc_id >= 200)
+
+
+def test_dates_read_day_first_and_short_locals(spark):
+    """25/12/1990 can be read one way only, and so can what it becomes; no two values meet; one-letter locals are permuted, not shifted."""
+    from datetime import date, timedelta
+
+    days = [date(1990, 1, 1) + timedelta(n) for n in range(400)]
+    first = [f"{d.day:02}/{d.month:02}/{d.year}" for d in days if d.day > 12]
+    month = [f"{d.month:02}/{d.day:02}/{d.year}" for d in days]
+    frame = spark.createDataFrame(list(enumerate(first + month)), "doc_id long, text string")
+    out = [r.clean for r in pseudonyms.pseudonymised(frame, "k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(out) and not set(out[: len(first)]) & set(out[len(first) :])
+    for a, b in zip(first + month, out, strict=True):
+        assert (a[:2] > "12") == (b[:2] > "12") and a != b
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    frame = spark.createDataFrame([(i, f"{c}@x.org") for i, c in enumerate(letters)], "doc_id long, text string")
+    moved = [ord(r.clean[0]) - 97 for r in pseudonyms.pseudonymised(frame, "k").orderBy("doc_id").collect()]
+    assert sorted(moved) == list(range(26)) and len({(b - a) % 26 for a, b in enumerate(moved)}) > 5
+
+
+def test_no_valid_value_survives(spark):
+    """A scan by hand over whole texts: e-mail addresses, and stretches of 13 to 19 digits that issuers use and whose Luhn sum holds, taken left to right, are all replaced."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    out = {r.doc_id: r.text for r in QUERIES["op6_pseudonyms"](spark, MIDDLE).collect()}
+    found = 0
+    for key, text in rows.items():
+        for word in set(re.split(r"[\s,;()<>\"']+", text)):
+            if re.fullmatch(r"[A-Za-z0-9._%+-]{2,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\.?", word) and any(c.isalnum() for c in word.split("@")[0]):
+                assert word not in re.split(r"[\s,;()<>\"']+", out[key]), word
+                found += 1
+            digits = word.rstrip(".")
+            if digits.isdigit() and len(digits) in (15, 16):
+                total = sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits)))
+                if total % 10 == 0:
+                    assert digits not in out[key]
+                    found += 1
+    assert found > 20
+
+
+def test_plans_hold_no_key(spark):
+    frame = pseudonyms.pseudonymised(spark.createDataFrame([(1, "a@x.org")], "doc_id long, text string"), "the-very-key")
+    assert "the-very-key" not in frame._jdf.queryExecution().toString()
+
+
+def test_decontamination_of_what_all_share(spark):
+    """A stock phrase in 300 items and 300 documents; items in several slices, one over a slice; longest matches by brute force."""
+    from pyspark.sql import functions as F
+
+    stock = [f"s{i}" for i in range(14)]
+    chance = np.random.default_rng(2)
+    line = lambda: [f"w{x}" for x in chance.integers(0, 60, 12)]
+    items = [(f"i{n:03}", line() + stock + line()) for n in range(300)] + [("short", ["s3", "w1"]), ("long", [f"q{i}" for i in range(3000)])]
+    docs = [(n, line() + stock + (line() if n % 3 else items[n][1][26:])) for n in range(300)] + [(300, ["s3", "w1", "x"]), (301, [f"q{i}" for i in range(100, 140)]), (302, ["nothing"])]
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.matches(frame, tests, most=1000).collect()}
+    assert len(decontaminate.suites(spark, tests, most=1000)) > 5
+    for key, words in [docs[i] for i in (0, 1, 2, 3, 150, 300, 301, 302)]:
+        best, held = (0, None, None, None), set()
+        for name, text in items:
+            n = min(10, len(text))
+            at = defaultdict(list)
+            for j in range(len(text) - n + 1):
+                at[tuple(text[j : j + n])].append(j)
+            for i in range(len(words) - n + 1):
+                for j in at.get(tuple(words[i : i + n]), ()):
+                    held.add(name)
+                    size = n
+                    while i + size < len(words) and j + size < len(text) and words[i + size] == text[j + size]:
+                        size += 1
+                    if (-size, i, name, j) < (-best[0], best[2] if best[2] is not None else 1 << 30, best[1] or "", best[3] or 0):
+                        best = (size, name, i, j)
+        r = rows[key]
+        assert set(r.items) == held and r.n_items == len(held)
+        assert (r.longest, r.longest_item, r.longest_at, r.longest_item_at) == best
+    assert rows[1].n_hit >= 14 and rows[302].n_hit == 0
+
+
+def test_codewords_are_apart():
+    for n in (8, 9, 40, 600):
+        code = langid.codewords(n)
+        assert code.shape[0] == n and not (np.abs(code.sum(0)) == n).any()
+        assert len({tuple(c * c[0]) for c in code.T.astype(int).tolist() for c in [np.array(c)]}) == code.shape[1]
+        same = code @ code.T
+        np.fill_diagonal(same, -np.inf)
+        assert same.max() <= code.shape[1] / 2  # a quarter of the bits differ
+
+
+def test_many_languages_and_repeats(spark):
+    """120 languages of their own letters, one of them repeated far over the bound: all are learned."""
+    rows = [(n * 20 + i, " ".join(chr(0x4E00 + n * 12 + (i * 7 + j) % 12) * 3 for j in range(12)), f"l{n:03}") for n in range(120) for i in range(20)]
+    rows += [(7, rows[0][1], "l000")] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame.select(frame.doc_id.alias("key"), "text", "lang"), per_language=30)
+    assert len(model["languages"]) == 120
+    found = langid.predict(frame.dropDuplicates(["doc_id"]), model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+    vectors = np.zeros((2, 8), np.float32)
+    tie = langid.decode({"weights": np.zeros((8, 3), np.float32), "bias": np.zeros(3, np.float32), "trust": np.ones(3, np.float32), "code": langid.codewords(3)}, vectors)
+    assert tie[0].tolist() == [0, 0]
+
+
+def test_toxicity_learns_within_bounds(spark, monkeypatch):
+    """Long texts stop at the bound of bytes; a repeated id is learned from once."""
+    long = " ".join(f"w{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, ("awful trash " if i % 2 else "kind words ") + (long if i < 40 else "")) for i in range(80)] + [(1, "awful trash")] * 200, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    from quillon.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 20)
+    model = toxicity.fit(docs, labels)
+    found = toxicity.predict(spark.createDataFrame([(1, "awful trash"), (2, "kind words")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert found[0].score > 0.5 > found[1].score
