@@ -125,23 +125,28 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text"):
             found = [vector(x or "").astype(np.float16).tobytes() for x in table.column("text").to_pylist()]
-            yield from pa.table([table.column("number"), table.column("chance"), pa.array(found, pa.binary())], ["number", "chance", "vector"]).to_batches(max_chunksize=256)
+            yield from pa.table([table.column("number"), table.column("chance"), pa.array(found, pa.binary())], ["number", "chance", "vector"]).to_batches(max_chunksize=64)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        numbers, vectors = [], []
+        numbers, vectors, known = [], [], set()
         for batch in batches:
-            numbers += batch.column("number").to_pylist()
-            vectors.append(np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float16).reshape(batch.num_rows, -1))
+            for row in zip(batch.column("number").to_pylist(), batch.column("chance").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                if row[:2] not in known:
+                    known.add(row[:2])
+                    numbers.append(row[0])
+                    vectors.append(row[2])
         if not numbers:
             return
-        model = train(np.concatenate(vectors), np.array(numbers), languages)
+        model = train(np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1), np.array(numbers), languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    once = sample.select("number", "chance", "text").mapInArrow(featured, "number int, chance double, vector binary").groupBy("number", "chance").agg(F.min("vector").alias("vector"))
-    bounded = once.withColumn("r", F.row_number().over(Window.partitionBy("number").orderBy("chance"))).where(F.col("r") <= most)
-    rows = bounded.select("number", "vector").repartition(1).mapInArrow(learn, "model binary").collect()
+    # The exact bound is drawn on numbers alone; at most TRAIN_BYTES / width of them go on.
+    place = F.row_number().over(Window.partitionBy("number").orderBy("chance"))
+    bounded = sample.select("number", "chance").distinct().withColumn("r", place).where(F.col("r") <= most).select("number", "chance")
+    kept = sample.select("number", "chance", "text").join(F.broadcast(bounded), ["number", "chance"], "left_semi")
+    rows = kept.mapInArrow(featured, "number int, chance double, vector binary").repartition(1).mapInArrow(learn, "model binary").collect()
     if not rows:
         return None
     import pickle

@@ -12,8 +12,10 @@ each block asked and answers in the order asked. (3) Each block puts its answers
 A trie has the levels x, x y and x y z. A level is one monotone sequence in Elias-Fano form, each node's successors raised by
 the last value before them, with a monotone sequence of pointers to where a node's successors begin. Words of the third
 level are numbered relative to their context: z is its rank among the words that follow y in this shard, which keeps the
-numbers small; a query first finds that rank, then searches it among the successors of x y. Pairs keep their counts and
-triples their discounted probabilities in 8 bits, in logarithmic steps.
+numbers small; a query first finds that rank, then searches it among the successors of x y. Both search where the numbers lie: pointers are selected in
+the mapped bits, and a successor is sought among those that share its high bits; no level is decoded. Triples keep their discounted
+probabilities in 8 bits, in logarithmic steps; pairs keep their counts in the same steps, as the counts of their first words, by which these would be
+divided, lie in other shards and join them where texts are scored.
 
 Within n-grams words are told apart by 40 bits of a 64-bit hash, which within a shard (of bounded input) mistakes fewer than
 one word in a million; single words by all 64 bits.
@@ -82,11 +84,24 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
+#: Positions of the set bits of each byte, highest first, and how many it has.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+_COUNT = _BITS.sum(1).astype(np.uint8)
+_PLACE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _PLACE[_byte, : _COUNT[_byte]] = np.flatnonzero(_BITS[_byte])
+#: Bytes of high bits between two entries of the directories.
+STRIDE = 8
+
+
 class Sequence:
-    """Elias-Fano form of a monotone sequence: low bits in whole bytes' packing, high bits in unary."""
+    """Elias-Fano form of a monotone sequence: low bits packed one after the other, high bits in unary, and directories of the ones and zeros before every STRIDE bytes.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    Numbers are read, and sought, where they lie: no more of the sequence is decoded than is asked for."""
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.decoded = 0
 
     @classmethod
     def of(cls, values: np.ndarray) -> Sequence:
@@ -96,33 +111,88 @@ class Sequence:
         values = values.astype(np.uint64)
         bits = np.empty((n, low_bits), np.uint8)
         for j in range(low_bits):
-            bits[:, j] = (values >> np.uint64(j)) & np.uint64(1)
-        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
-        high[ones] = 1
-        return cls(n, low_bits, np.packbits(bits.reshape(-1)), np.packbits(high))
-
-    def values(self) -> np.ndarray:
-        """The whole sequence."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n] - np.arange(self.n)
-        out = high.astype(np.int64) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(np.asarray(self.low), count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            for j in range(self.low_bits):
-                out |= bits[:, j].astype(np.int64) << j
+            bits[:, j] = (values >> np.uint64(low_bits - 1 - j)) & np.uint64(1)
+        places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        size = STRIDE * (int(places[-1]) // (8 * STRIDE) + 1) if n else STRIDE
+        high = np.zeros(8 * size, np.uint8)
+        high[places] = 1
+        high = np.packbits(high)
+        before = np.cumsum(_COUNT[high].reshape(-1, STRIDE).sum(1, dtype=np.uint32), dtype=np.uint32)
+        return cls(n, low_bits, np.append(np.packbits(bits.reshape(-1)), np.zeros(8, np.uint8)), high, np.concatenate([np.zeros(1, np.uint32), before]))
+
+    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the one (or zero) before which there are `rank` of its kind."""
+        directory = self.ones if ones else (np.arange(len(self.ones), dtype=np.int64) * (8 * STRIDE) - self.ones).astype(np.uint32)
+        word = np.searchsorted(directory, rank.astype(np.uint32), "right") - 1
+        # Past the last word there are only zeros.
+        beyond = word >= len(self.high) // STRIDE
+        inside = np.where(beyond, 0, word)
+        own = self.high[inside[:, None] * STRIDE + np.arange(STRIDE)]
+        if not ones:
+            own = ~own
+        left = rank - directory[inside]
+        counts = np.cumsum(_COUNT[own], axis=1, dtype=np.int64)
+        byte = (counts <= left[:, None]).sum(1)
+        byte[beyond] = 0
+        row = np.arange(len(rank))
+        left = left - np.where(byte > 0, counts[row, np.maximum(byte - 1, 0)], 0)
+        place = word.astype(np.int64) * (8 * STRIDE) + byte * 8 + _PLACE[own[row, byte], np.where(beyond, 0, left)]
+        return np.where(beyond, word.astype(np.int64) * (8 * STRIDE) + (rank - directory[np.minimum(word, len(directory) - 1)]), place)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        self.decoded += len(i)
+        at = i.astype(np.int64) * self.low_bits
+        window = np.zeros(len(i), np.uint64)
+        for j in range(8):
+            window = window << np.uint64(8) | self.low[(at >> 3) + j]
+        return (window << (at & 7).astype(np.uint64) >> np.uint64(64 - self.low_bits)).astype(np.int64)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at some places."""
+        return (self._select(i, True) - i) << self.low_bits | self._low(i)
+
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Place of each value between two places, -1 where it is not there: the numbers that share its high bits lie together."""
+        out = np.full(len(values), -1, np.int64)
+        head = values >> self.low_bits
+        most = int(self.get(np.array([self.n - 1]))[0]) >> self.low_bits if self.n else -1
+        live = np.flatnonzero((begin < end) & (values >= 0) & (head <= most))
+        if not len(live):
+            return out
+        h = head[live]
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)  # after the zero that ends the bucket before
+        stop = np.minimum(self._select(h, False) - h, end[live])
+        at = np.maximum(at, begin[live])
+        low = values[live] & ((1 << self.low_bits) - 1)
+        while len(live):
+            there = at < stop
+            live, at, stop, low = live[there], at[there], stop[there], low[there]
+            if not len(live):
+                break
+            # The middle of what is left of a bucket, which mostly holds one or two.
+            middle = (at + stop) >> 1
+            own = self._low(middle)
+            same = own == low
+            out[live[same]] = middle[same]
+            at, stop = np.where(own < low, middle + 1, at), np.where(own > low, middle, stop)
+            rest = ~same
+            live, at, stop, low = live[rest], at[rest], stop[rest], low[rest]
         return out
 
     def parts(self) -> tuple[list, list[np.ndarray]]:
-        return [self.n, self.low_bits], [self.low, self.high]
+        return [self.n, self.low_bits], [self.low, self.high, self.ones.view(np.uint8)]
 
 
 def nested(parents: np.ndarray, children: np.ndarray, n_parents: int) -> tuple[Sequence, Sequence]:
-    """Successors of parents (both sorted, parents first) as one monotone sequence, and pointers to each parent's first."""
+    """Successors of parents (both sorted, parents first) as one monotone sequence, and pointers to each parent's first. A parent's successors are raised by the last number before them."""
     pointers = np.searchsorted(parents, np.arange(n_parents + 1))
-    width = int(children.max()) + 1 if len(children) else 1
-    return Sequence.of(parents * np.int64(width) + children), Sequence.of(pointers)
+    own = np.flatnonzero(np.diff(pointers))
+    lasts = children[pointers[own + 1] - 1] + 1
+    base = np.zeros(n_parents, np.int64)
+    base[own] = np.cumsum(lasts) - lasts
+    return Sequence.of(base[parents] + children), Sequence.of(pointers)
 
 
 class Trie:
@@ -130,8 +200,8 @@ class Trie:
 
     NAMES = ("pairs", "pair_pointers", "ranks", "rank_pointers", "triples", "triple_pointers")
 
-    def __init__(self, n_words: int, widths: list[int], sequences: dict[str, Sequence], pair_codes: np.ndarray, triple_codes: np.ndarray):
-        self.n_words, self.widths, self.sequences, self.pair_codes, self.triple_codes = n_words, widths, sequences, pair_codes, triple_codes
+    def __init__(self, n_words: int, sequences: dict[str, Sequence], pair_codes: np.ndarray, triple_codes: np.ndarray):
+        self.n_words, self.sequences, self.pair_codes, self.triple_codes = n_words, sequences, pair_codes, triple_codes
 
     @classmethod
     def build(cls, n_words: int, x: np.ndarray, y: np.ndarray, pair_counts: np.ndarray, pair: np.ndarray, z: np.ndarray, counts: np.ndarray) -> Trie:
@@ -140,12 +210,11 @@ class Trie:
         follow, place = ranked(middle * np.int64(n_words) + z)
         rank_of = place - np.searchsorted(follow, np.arange(n_words) * np.int64(n_words))[middle]
         # Ranks rise with z, so that triples stay in order.
-        sequences, widths = {}, []
+        sequences = {}
         for (a, b), (parents, children, n) in zip(zip(cls.NAMES[::2], cls.NAMES[1::2], strict=True), ((x, y, n_words), (follow // n_words, follow % n_words, n_words), (pair, rank_of, len(x))), strict=True):
             sequences[a], sequences[b] = nested(parents, children, n)
-            widths.append(int(children.max()) + 1 if len(children) else 1)
         discounted = counts / (pair_counts[pair] + U3)
-        return cls(n_words, widths, sequences, code(pair_counts), code(1 / discounted))
+        return cls(n_words, sequences, code(pair_counts), code(1 / discounted))
 
     def save(self, path: str) -> None:
         heads, arrays = [], [self.pair_codes, self.triple_codes]
@@ -153,7 +222,7 @@ class Trie:
             head, parts = self.sequences[name].parts()
             heads.append(head)
             arrays += parts
-        head = pickle.dumps((self.n_words, self.widths, heads, [len(a) for a in arrays]))
+        head = pickle.dumps((self.n_words, heads, [len(a) for a in arrays]))
         with open(path, "wb") as f:
             f.write(len(head).to_bytes(8, "little") + head)
             for a in arrays:
@@ -163,38 +232,39 @@ class Trie:
     def load(cls, path: str) -> Trie:
         """A trie whose levels stay in the file, mapped into memory."""
         with open(path, "rb") as f:
-            n_words, widths, heads, sizes = pickle.loads(f.read(at := int.from_bytes(f.read(8), "little")))
+            n_words, heads, sizes = pickle.loads(f.read(at := int.from_bytes(f.read(8), "little")))
         at += 8
         arrays = []
         whole = np.memmap(path, np.uint8, "r")
         for size in sizes:
             arrays.append(whole[at : at + size])
             at += size
-        sequences = {name: Sequence(*head, low, high) for name, head, low, high in zip(cls.NAMES, heads, arrays[2::2], arrays[3::2], strict=True)}
-        return cls(n_words, widths, sequences, arrays[0], arrays[1])
-
-    def _find(self, level: int, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Position of a successor in its level, -1 if it is none of the parent's (or the parent is -1)."""
-        values, width = self.sequences[self.NAMES[2 * level]].values(), self.widths[level]
-        wanted = parent * np.int64(width) + child
-        wanted[(parent < 0) | (child < 0) | (child >= width)] = -1
-        at = np.searchsorted(values, wanted).astype(np.int32)
-        wanted[at == len(values)] = -1
-        there = np.flatnonzero(wanted >= 0)
-        there = there[values[at[there]] == wanted[there]]
-        out = np.full(len(at), -1, np.int32)
-        out[there] = at[there]
-        return out
+        sequences = {name: Sequence(*head, low, high, np.frombuffer(ones.tobytes(), np.uint32)) for name, head, low, high, ones in zip(cls.NAMES, heads, arrays[2::3], arrays[3::3], arrays[4::3], strict=True)}
+        return cls(n_words, sequences, arrays[0], arrays[1])
+
+    def _find(self, level: int, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of a successor in its level, -1 if it is none of the parent's (or either is -1), and where the parent's successors begin."""
+        values, pointers = (self.sequences[name] for name in self.NAMES[2 * level : 2 * level + 2])
+        out, first = np.full(len(parent), -1, np.int32), np.zeros(len(parent), np.int64)
+        known = np.flatnonzero((parent >= 0) & (child >= 0))
+        # Neighbours in order ask for the same parents: each is read once.
+        distinct_, number = np.unique(parent[known], return_inverse=True)
+        distinct_ = distinct_.astype(np.int64)
+        begin, end = pointers.get(distinct_), pointers.get(distinct_ + 1)
+        base = np.zeros(len(distinct_), np.int64)
+        later = np.flatnonzero((begin > 0) & (begin < end))
+        base[later] = values.get(begin[later] - 1) + 1
+        first[known] = begin[number]
+        out[known] = values.find(base[number] + child[known], begin[number], end[number])
+        return out, first
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return self._find(0, x, y)
+        return self._find(0, x, y)[0]
 
     def triples(self, pair: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         """pair: positions as pairs() gives them."""
-        in_context = self._find(1, y, z)
-        begins = self.sequences["rank_pointers"].values()
-        rank = np.where(in_context >= 0, in_context - begins[np.maximum(y, 0)], -1)
-        return self._find(2, pair, rank)
+        place, first = self._find(1, y, z)
+        return self._find(2, pair, np.where(place >= 0, place - first, -1))[0]
 
     @staticmethod
     def codes(positions: np.ndarray, codes: np.ndarray) -> np.ndarray:

@@ -5,11 +5,11 @@ sum(p + 1)) - log((q(f) + 1) / sum(q + 1)), where p and q count the toxic and ot
 regression learns weights for the scaled features. Features of too few training texts (10, fewer if there
 are few texts) are left out.
 
-It learns from at most PER_CLASS labelled texts a class, those with the smallest hash of the document id, as far as their features take SAMPLE_BYTES a class.
+It learns from at most PER_CLASS labelled texts a class, those with the smallest hash of the document id, as far as their features, at 16 bytes a byte of text and 4 a feature at most, take SAMPLE_BYTES a class.
 
 Defined cases: null and empty texts are scored on the bias alone; a document that is labelled more than once counts as toxic
 if any label says so; null labels are not learned; without labels of both classes every score is the share of toxic labels
-(0.5 without any); repeated rows are scored one by one, and of the rows that share an id one is learned from, that of the smallest hash of its features; texts without a feature in common score alike; a very long text is hashed whole, in a block of
+(0.5 without any); repeated rows are scored one by one, and of the rows that share an id one is learned from, that of the smallest hash of its text; texts without a feature in common score alike; a very long text is hashed whole, in a block of
 its own; columns of any name stay beside the new ones; an empty table gives an empty result.
 """
 
@@ -71,7 +71,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chance = F.xxhash64(F.lit(10), "doc_id")
     sample = [known.where(F.col("toxic") == c).orderBy(chance, "doc_id").limit(per_class) for c in (True, False)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").select("toxic", "doc_id", "text")
+    both = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").withColumn("pick", F.xxhash64("text"))
+    sizes = both.groupBy("doc_id", "toxic").agg(F.min(F.struct("pick", F.least(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") * (4 * len(ORDERS)), F.lit(4 << FEATURE_BITS)).alias("size"))).alias("one")).select("doc_id", "toxic", "one.*")
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(chance, "doc_id"))  # over at most per_class rows
+    kept = sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "pick")
+    rows = both.join(F.broadcast(kept), ["doc_id", "pick"], "left_semi").select("toxic", "doc_id", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros(1 << FEATURE_BITS, np.int32)
@@ -80,20 +84,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
             yield from pa.table([table.column("toxic"), table.column("doc_id"), pa.array(found, pa.binary())], ["toxic", "doc_id", "features"]).to_batches(max_chunksize=64)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, features, taken = [], [], {True: 0, False: 0}
+        toxic, features, known = [], [], set()
         for batch in batches:
-            for label, data in zip(batch.column("toxic").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                if taken[label] + len(data) <= SAMPLE_BYTES:
+            for label, key, data in zip(*(batch.column(c).to_pylist() for c in ("toxic", "doc_id", "features")), strict=True):
+                if key not in known:
+                    known.add(key)
                     toxic.append(label)
                     features.append(np.frombuffer(data, np.int32))
-                    taken[label] += len(data)
         model = train(features, np.array(toxic, bool))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("features")))
-    each = rows.mapInArrow(featured, f"toxic boolean, doc_id {kind}, features binary").withColumn("r", one).where(F.col("r") == 1)
-    found = each.repartition(1).sortWithinPartitions(chance, "doc_id").select("toxic", "features").mapInArrow(learn, "model binary").collect()
+    found = rows.mapInArrow(featured, f"toxic boolean, doc_id {kind}, features binary").repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, bool))
 
 

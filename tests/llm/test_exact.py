@@ -124,7 +124,7 @@ def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (1000, 3000), (500, 10**9)):
         values = np.sort(rng.integers(0, top, n))
-        assert (language_model.Sequence.of(values).values() == values).all()
+        assert (language_model.Sequence.of(values).get(np.arange(len(values))) == values).all()
     arrays = [rng.integers(0, 9, 50).astype(np.uint8), np.arange(7, dtype=np.int64), np.zeros(0, np.uint32)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, language_model.unsqueeze(language_model.squeeze(*arrays)), strict=True))
 
@@ -543,3 +543,43 @@ def test_toxicity_learns_within_bounds(spark, monkeypatch):
     model = toxicity.fit(docs, labels)
     found = toxicity.predict(spark.createDataFrame([(1, "awful trash"), (2, "kind words")], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert found[0].score > 0.5 > found[1].score
+
+
+def test_successors_are_found_where_they_lie():
+    """Numbers read and sought in Elias-Fano form against plain arrays; a lookup reads few low bits of a level."""
+    chance = np.random.default_rng(1)
+    for n, top in ((0, 10), (1, 1), (1, 1000), (7, 3), (1000, 900), (1000, 10**6), (50_000, 2**42)):
+        v = np.sort(chance.integers(0, top, n)) if top < 2 * n else np.unique(chance.integers(0, top, n))
+        form = language_model.Sequence.of(v)
+        at = chance.integers(0, len(v), 200) if len(v) else np.zeros(0, int)
+        assert (form.get(at) == v[at]).all()
+        wanted = np.concatenate([v[at], chance.integers(0, top + 5, 200)])
+        begin = chance.integers(0, len(v) + 1, len(wanted)) // 2
+        end = np.minimum(len(v), begin + chance.integers(0, len(v) + 2, len(wanted)))
+        found = form.find(wanted, begin, end)
+        for w, a, b, place in zip(wanted.tolist(), begin.tolist(), end.tolist(), found.tolist(), strict=True):
+            assert (a <= place < b and v[place] == w) if w in v[a:b] else place == -1
+    form.decoded = 0
+    form.find(v[:100], np.zeros(100, int), np.full(100, len(v)))
+    assert form.decoded < 500  # of 50 000
+
+
+def test_trie_against_a_dictionary(tmp_path):
+    chance = np.random.default_rng(2)
+    triples = Counter(map(tuple, (chance.integers(0, 40, (4000, 3)) ** 2 // 40).tolist()))
+    pairs = Counter()
+    for (x, y, _), c in triples.items():
+        pairs[x, y] += c
+    names = sorted(pairs)
+    place = {p: i for i, p in enumerate(names)}
+    rows = sorted((place[x, y], z) for x, y, z in triples)
+    xy = np.array(names)
+    trie = language_model.Trie.build(40, xy[:, 0], xy[:, 1], np.array([pairs[p] for p in names]), np.array([p for p, _ in rows]), np.array([z for _, z in rows]), np.array([triples[(*names[p], z)] for p, z in rows]))
+    trie.save(str(tmp_path / "t"))
+    trie = language_model.Trie.load(str(tmp_path / "t"))
+    asked = chance.integers(0, 40, (3000, 3))
+    found = trie.pairs(asked[:, 0], asked[:, 1].astype(np.int32))
+    assert found.tolist() == [place.get((x, y), -1) for x, y, _ in asked.tolist()]
+    third = trie.triples(found, asked[:, 1].astype(np.int32), asked[:, 2])
+    order = {t: i for i, t in enumerate(rows)}
+    assert third.tolist() == [order.get((place.get((x, y), -1), z), -1) for x, y, z in asked.tolist()]
