@@ -92,9 +92,10 @@ def aligned_report(spark, sf_dir):
     return reports.aligned(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), ["lang", "n"])
 
 
-@register("lead_summaries", "SELECT conv_id, string_agg(substr(text, 1, 40), ' ' ORDER BY turn) AS summary FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 6) GROUP BY conv_id")
+@register("lead_summaries")
 def lead_summaries(spark, sf_dir):
-    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("lead"))
+    """The first sentences of a conversation's first six turns."""
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(T.sentences(F.col("text")), F.lit(0)).alias("lead"))
     return reports.summaries(parts, "conv_id", "turn", "lead")
 
 

@@ -226,9 +226,9 @@ def metadata_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") & F.col("source").isin("src1", "src2", "src3") & F.col("n_chars").between(100, 5000)).select("doc_id")
 
 
-@register("contextual_text", "SELECT doc_id, source || '. ' || lang || '.' || chr(10) || substr(text, 1, 80) AS line, '[E' || doc_id || ']' AS cite FROM documents")
+@register("contextual_text", "SELECT doc_id, source || '. ' || lang || '.' || chr(10) || text AS line, '[E' || doc_id || ']' AS cite FROM documents")
 def contextual_text(spark, sf_dir):
-    line = F.concat("source", F.lit(". "), "lang", F.lit(".\n"), F.substring("text", 1, 80))
+    line = F.concat("source", F.lit(". "), "lang", F.lit(".\n"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"), F.concat(F.lit("[E"), "doc_id", F.lit("]")).alias("cite"))
 
 

@@ -47,3 +47,15 @@ def test_query(spark, duck, name):
         assert sorted(found.columns) == sorted(want.columns)
         assert rows(found) == rows(want)
     assert len(found) or name in MAY_BE_EMPTY
+
+
+def test_lead_summaries_by_hand(spark):
+    from quillon.operators import language
+
+    turns = {}
+    for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    found = {r.conv_id: r.summary for r in QUERIES["lead_summaries"](spark, FOLDER).collect()}
+    for conv, parts in turns.items():
+        leads = [next((s for _, _, s in language.sentences(t)), None) for _, t in sorted(parts)[:6]]
+        assert found[conv] == " ".join(x for x in leads if x is not None)
