@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs", "documents", "reporting")
+NAMES: tuple[str, ...] = ("search", "maintain", "textual", "graphs", "documents", "reporting", "evidence", "knowledge")
 
 
 def load() -> None:
