@@ -6,10 +6,11 @@ sequential run needs it. Components are independent and run in parallel."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.lineage import cut
+from quillon.operators.graph import contract
 
 
 def moved(adj: dict, total: float, passes: int = 25, resolution: float = 1.0) -> dict:
@@ -73,3 +74,67 @@ def detect(adj: DataFrame) -> DataFrame:
 
     kind = dict(adj.dtypes)["u"]
     return rooted.groupBy("root").applyInPandas(group, f"node {kind}, community {kind}")
+
+
+def levels(adj: DataFrame, least: int = 3) -> DataFrame:
+    """level, community and node: communities, and above more than `least` of them the communities of communities that hold more than `least` nodes.
+
+    A community is named after its smallest node. The second level is left out where nothing was joined."""
+    spark = adj.sparkSession
+    low = cut(spark, detect(adj))
+    first = low.select(F.lit(0).alias("level"), "community", "node")
+    n = low.select("community").distinct().count()
+    if n <= least:
+        return first
+    between = contract(adj, low.withColumnRenamed("community", "c")).select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w")
+    high = cut(spark, detect(cut(spark, between)).select(F.col("node").alias("community"), F.col("community").alias("above")))
+    if high.select("above").distinct().count() >= n:
+        return first
+    upper = low.join(high, "community").select(F.col("above").alias("community"), "node")
+    large = upper.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("community")
+    return first.unionByName(upper.join(large, "community", "left_semi").select(F.lit(1).alias("level"), "community", "node"))
+
+
+def fact_order() -> list[Column]:
+    """Surest first; what is retired counts 0.7. Then the oldest."""
+    return [F.desc(F.col("conf") * F.when(F.col("active"), 1.0).otherwise(0.7)), F.coalesce("valid_from", F.lit("")), F.col("id")]
+
+
+def described(members: DataFrame, nodes: DataFrame, facts: DataFrame, sentences: int = 8, least: float = 0.5) -> DataFrame:
+    """level, community, n, n_facts, day, title, report and id for members(level, community, node), nodes(node, name, type), facts(id, src, dst, conf, active, valid_from, sentence).
+
+    Facts lie within a community. The report names its types and central nodes and tells its first sentences, each once. Only bounded heads of
+    members and facts are gathered. The id follows from the members, whatever their order, and the report, so that the same community keeps it."""
+    key = ["level", "community"]
+    side = lambda c: members.select(*key, F.col("node").alias(c))
+    inside = facts.where(F.col("conf") >= least).join(side("src"), "src").join(side("dst"), [*key, "dst"])
+    ends = F.explode(F.array_distinct(F.array("src", "dst")))
+    degree = inside.select(*key, ends.alias("node")).groupBy(*key, "node").agg(F.count(F.lit(1)).alias("degree"))
+    known = members.join(nodes, "node").join(degree, [*key, "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    central = known.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("degree"), "name"))).where("r <= 6")
+    names = central.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("central"))
+    kinds = known.groupBy(*key, F.lower("type").alias("type")).agg(F.count(F.lit(1)).alias("c"))
+    mix = kinds.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "type"))), lambda x: F.concat((-x["c"]).cast("string"), F.lit(" "), x["type"])), ", ").alias("mix"))
+    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("_who"))
+    sums = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("n_facts"), F.max("valid_from").alias("day"))
+    same = F.trim(F.regexp_replace(F.lower("sentence"), r"\W+", " "))
+    told = inside.where(F.col("sentence") != "").withColumn("_once", F.row_number().over(Window.partitionBy(*key, same).orderBy(*fact_order()))).where("_once = 1")
+    first = told.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*fact_order()))).where(F.col("r") <= sentences)
+    dated = F.contains("sentence", F.substring("valid_from", 1, 4))
+    line = F.concat(F.lit("- "), F.trim("sentence"), F.when(dated, F.concat(F.lit(" ("), F.substring("valid_from", 1, 7), F.lit(")"))).otherwise(""))
+    lines = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce(line, F.concat(F.lit("- "), F.trim("sentence"))).alias("line")))), lambda x: x["line"]).alias("lines"))
+    rows = counts.join(names, key).join(mix, key).join(sums, key, "left").join(lines, key, "left")
+    more = F.when(F.col("n") > 3, F.concat(F.lit(" +"), F.col("n") - 3)).otherwise("")
+    head = F.concat(F.lit("Community of "), "n", F.lit(" related entities ("), "mix", F.lit("). Central entities: "), F.array_join("central", ", "), F.lit("."))
+    rows = rows.withColumns({"title": F.concat(F.array_join(F.slice("central", 1, 3), ", "), more), "report": F.concat_ws("\n", head, F.array_join("lines", "\n"))})
+    name = F.substring(F.sha1(F.concat_ws("|", "level", "_who", "n", "report")), 1, 16)
+    return rows.select(*key, "n", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "day", "title", "report", name.alias("id"))
+
+
+def as_chunks(reports: DataFrame) -> DataFrame:
+    """Communities of three nodes and two facts or more as chunks of a kind of their own, to be indexed with the others; none whose report looks like an attack."""
+    from quillon.operators.safety import SUSPICIOUS, risk
+
+    fit = reports.where((F.col("n") >= 3) & (F.col("n_facts") >= 2) & (risk(F.col("report")) < SUSPICIOUS))
+    place = F.concat(F.lit("L"), "level", F.lit("-"), "community")
+    return fit.select("id", F.concat(F.lit("community:"), place).alias("document"), F.col("report").alias("text"), F.concat(F.lit("Community: "), "title").alias("head"), F.lit("derived").alias("source_type"), F.col("day").alias("published"), F.lit("community").alias("kind"))

@@ -97,3 +97,11 @@ def conflicts(facts: DataFrame) -> DataFrame:
         F.countDistinct("day").alias("n_days"), F.countDistinct("doc").alias("n_docs"), F.max(F.struct("authority", "day")).alias("best")
     )
     return told.where("n_days >= 2 and n_docs >= 2").select("src", "rel", "dst", "n_days", F.col("best.day").alias("day"), F.col("best.authority").alias("authority"))
+
+
+def ranked_claims(facts: DataFrame) -> DataFrame:
+    """src, rel, dst, doc, day, authority and place: what each document says of a contested fact, by authority."""
+    contested = conflicts(facts).select("src", "rel", "dst")
+    told = facts.where(F.col("day").isNotNull()).join(contested, ["src", "rel", "dst"], "left_semi")
+    w = Window.partitionBy("src", "rel", "dst").orderBy(F.desc("authority"), "day", "doc")
+    return told.withColumn("place", F.row_number().over(w))

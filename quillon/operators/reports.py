@@ -1,7 +1,8 @@
-"""Reports: summaries of documents, exposition of metrics, aligned tables."""
+"""Reports: summaries of documents, exposition of metrics, aligned tables, vectors as bytes."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +28,25 @@ def merged(candidates: DataFrame, keys: list[str], best: list[str], sets: list[s
     """One row for each key over all steps: the highest scores, and the union of what found it."""
     aggregates: list[Column] = [F.max(c).alias(c) for c in best] + [F.sort_array(F.collect_set(c)).alias(c) for c in sets]
     return candidates.groupBy(*keys).agg(*aggregates)
+
+
+def packed(vector: Column) -> Column:
+    """An array of floats as its bytes, 32 bits each, little-endian."""
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return vectors.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+    return run(vector)
+
+
+def unpacked(data: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(blobs: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return blobs.map(lambda b: np.frombuffer(b, "<f4"), na_action="ignore")
+
+    return run(data)

@@ -22,6 +22,11 @@ def postings(docs: DataFrame, doc: str, text: str, fields: list[str] | None = No
     return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")))
 
 
+def without(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index less the postings of gone(doc); what is counted from it afterwards knows nothing of them."""
+    return index.join(gone.select("doc").distinct(), "doc", "left_anti")
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n documents and their average length."""
     return index.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))

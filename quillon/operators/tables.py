@@ -34,6 +34,38 @@ def retire(facts: DataFrame, observed: DataFrame, keys: list[str], now: Column)
     return facts.join(seen, keys, "left").withColumns({"valid_until": F.when(gone, now).otherwise(F.col("valid_until")), "active": F.col("active") & ~gone}).drop("_seen")
 
 
+def put_facts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with the facts of new: what states a fact is refreshed, when it was first told is kept, and what was retired is active again. Columns: fact, chunk, sentence, confidence, last_version; valid_from, observed_at, first_version; active, valid_until."""
+    seen = new.withColumns({"active": F.lit(True), "valid_until": F.lit(None).cast(dict(old.dtypes)["valid_until"])})
+    return upsert(old, seen, ["fact"], sticky=["valid_from", "observed_at", "first_version"])
+
+
+def tombstone(documents: DataFrame, chunks: DataFrame, facts: DataFrame, gone: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after the pages of gone(url) were not found: documents(document, url, status, last_seen) have a status of gone, their chunks and facts end now. What ended before stays as it was."""
+    hit = gone.select("url").distinct().withColumn("_gone", F.lit(True))
+    marked = documents.join(hit, "url", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)) & (F.col("status") != "gone"))
+    dead = marked.where("_gone").select("document").distinct().withColumn("_dead", F.lit(True))
+
+    def ended(rows: DataFrame) -> DataFrame:
+        ends = F.coalesce("_dead", F.lit(False)) & F.col("active")
+        return rows.join(dead, "document", "left").withColumns({"valid_until": F.when(ends, now).otherwise(F.col("valid_until")), "active": F.col("active") & ~ends}).drop("_dead")
+
+    after = marked.withColumns({"status": F.when(F.col("_gone"), "gone").otherwise(F.col("status")), "last_seen": F.when(F.col("_gone"), now).otherwise(F.col("last_seen"))}).drop("_gone")
+    return after, ended(chunks), ended(facts)
+
+
+def replace_rows(old: DataFrame, keys: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old without the rows of keys(key), and with new ones instead; a key without new rows ends up with none."""
+    return old.join(keys.select(key).distinct(), key, "left_anti").unionByName(new.distinct())
+
+
+def updated(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the fields that changes has put in by key; rows that are not there are not added."""
+    fields = [c for c in changes.columns if c not in keys]
+    put = changes.select(*keys, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_put"))
+    return old.join(put, keys, "left").select(*(F.when(F.col("_put"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns))
+
+
 def versions(events: DataFrame, entity: str, at: str, *tie: str) -> DataFrame:
     """version numbers and validity: each version ends when the next begins."""
     w = Window.partitionBy(entity).orderBy(at, *tie)

@@ -85,24 +85,6 @@ def adjacency_weights(spark, sf_dir):
     return G.adjacency(_edges(spark, sf_dir)).select("u", "v", F.round("w", 6).alias("w"))
 
 
-@register("community_contraction", f"WITH {_EDGES}, a AS (SELECT src AS u, dst AS v, conf * CASE WHEN rel IN ('IS_A', 'VARIANT_OF') THEN 0.5::DOUBLE ELSE 1::DOUBLE END * CASE WHEN active THEN 1::DOUBLE ELSE 0.6::DOUBLE END AS w FROM edges) SELECT u % 4 AS cu, v % 4 AS cv, round(sum(w), 6) AS w FROM (SELECT * FROM a UNION ALL SELECT v, u, w FROM a) GROUP BY 1, 2")
-def community_contraction(spark, sf_dir):
-    adj = G.adjacency(_edges(spark, sf_dir))
-    member = adj.select(F.col("u").alias("node")).distinct().withColumn("c", F.col("node") % 4)
-    return G.contract(adj, member).select("cu", "cv", F.round("w", 6).alias("w"))
-
-
-@register("community_report", f"WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT c, count(*) AS n, sum(degree)::BIGINT AS degree, array_to_string(list(node ORDER BY degree DESC, node)[1:3], ', ') AS title FROM (SELECT node % 4 AS c, node, degree FROM d) GROUP BY c")
-def community_report(spark, sf_dir):
-    from pyspark.sql import Window
-
-    degrees = G.incident(_edges(spark, sf_dir)).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).withColumn("c", F.col("node") % 4)
-    sums = degrees.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("degree"))
-    first = degrees.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("degree"), "node"))).where("r <= 3")
-    titles = first.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "node"))), lambda x: x["node"].cast("string")), ", ").alias("title"))
-    return sums.join(titles, "c")
-
-
 _STEPS = f"""{_EDGES}, st AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
   goals AS (SELECT 100 + r_regionkey::BIGINT AS goal FROM region),
   w AS (SELECT goal, y AS node, 1 AS n FROM goals JOIN st ON x = goal),

@@ -264,12 +264,6 @@ def change_summary(spark, sf_dir):
     return counts.join(first, ["source", "change"])
 
 
-@register("tombstones", "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS gone, bool_and(o_orderstatus = 'F') AS all_gone FROM orders GROUP BY o_custkey")
-def tombstones(spark, sf_dir):
-    gone = F.col("o_orderstatus") == "F"
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("gone"), F.bool_and(gone).alias("all_gone"))
-
-
 @register("url_transitions", f"WITH f AS ({_FRONTIER}) SELECT source_id, state, prev, count(*) AS n FROM (SELECT source_id, state, coalesce(lag(state) OVER (PARTITION BY source_id ORDER BY discovered_at, event_id), 'NONE') AS prev FROM f) GROUP BY ALL")
 def url_transitions(spark, sf_dir):
     from pyspark.sql import Window
@@ -284,12 +278,6 @@ def missing_vectors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@register("index_removal", "SELECT source, count(*) AS n, round(avg(n_chars), 6) AS avg_len FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) g USING (doc_id) GROUP BY source")
-def index_removal(spark, sf_dir):
-    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(gone, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("avg_len"))
-
-
 @register("ablation_means", "SELECT lang, source, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def ablation_means(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")

@@ -99,12 +99,6 @@ def lead_summaries(spark, sf_dir):
     return reports.summaries(parts, "conv_id", "turn", "lead")
 
 
-@register("vector_codec", "SELECT model, count(*) AS n, min(dim) AS dim FROM (SELECT CASE WHEN label % 2 = 0 THEN 'hashing-64' ELSE 'other' END AS model, len(embedding) AS dim FROM embeddings) WHERE model = 'hashing-64' GROUP BY model")
-def vector_codec(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.when(F.col("label") % 2 == 0, "hashing-64").otherwise("other").alias("model"), F.size("embedding").cast("long").alias("dim"))
-    return v.where("model = 'hashing-64'").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("dim").alias("dim"))
-
-
 _SETS = "sets AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type), ' ')) AS w FROM part)"
 
 
