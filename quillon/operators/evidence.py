@@ -91,13 +91,17 @@ def refine(text: Column, wanted: Column, names: Column) -> Column:
 
     wanted: stems of the question whose idf is over 0.8; names: its entities, in small letters."""
 
-    def kept(s: Column) -> Column:
-        bears = lambda x, i: (i == 0) | F.arrays_overlap(T.tokens(x), wanted) | F.exists(names, lambda n: F.contains(F.lower(x), n)) | x.rlike(r"\b(19|20)[0-9]{2}\b")
-        held = F.filter(s, lambda x, i: F.coalesce(bears(x, i), F.lit(False)))
+    def kept(s: Column, w: Column) -> Column:
+        # A token holds its stem but for the last letter, so that only sentences where that occurs are taken apart.
+        low = lambda x: F.concat(F.lower(x), F.lit(" "), F.regexp_replace(F.lower(x), "[-.]", ""))
+        may = lambda x: T.let(low(x), lambda t: F.exists(w, lambda y: F.contains(t, F.substring(y, F.lit(1), F.length(y) - 1))))
+        asks = lambda x: may(x) & F.arrays_overlap(T.tokens(x), w)
+        bears = lambda x, i: (i == 0) | x.rlike(r"\b(19|20)[0-9]{2}\b") | F.exists(names, lambda n: F.contains(F.lower(x), n)) | asks(x)
         long = (F.size(s) >= 4) & (T.count_tokens(text) >= 100)
-        return F.when(long & (F.size(held) > 0) & (F.size(held) < F.size(s)), F.array_join(held, " "))
+        stripped = lambda held: F.when((F.size(held) > 0) & (F.size(held) < F.size(s)), F.array_join(held, " "))
+        return F.when(long, T.let(F.filter(s, lambda x, i: F.coalesce(bears(x, i), F.lit(False))), stripped))
 
-    return T.let(T.sentences(text), kept)
+    return T.let(wanted, lambda w: T.let(T.sentences(text), lambda s: kept(s, w)))
 
 
 def cached(questions: DataFrame, entries: DataFrame, version: int, now: Column, ttl_s: int = 3600, least: float = 0.96, size: int = 64) -> DataFrame:

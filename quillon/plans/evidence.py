@@ -147,6 +147,6 @@ def judge_summary(spark, sf_dir):
     return marks.groupBy("source").agg(F.round(F.avg("quality"), 3).alias("correctness"), F.round(F.avg(1 - F.col("toxic")), 3).alias("groundedness"), F.count("quality").alias("judged"), F.count_if(F.col("quality").isNull()).alias("errors"))
 
 
-@register("squashed_score", f"WITH {_CANDIDATES} SELECT query, chunk, round(0.7::DOUBLE / (1 + exp(-(final * 8 - 4))) + 0.3::DOUBLE * rerank, 6) AS score FROM cand")
+@register("squashed_score", f"WITH {_CANDIDATES} SELECT query, chunk, round(0.7::DOUBLE / (1 + exp(-(final * 8 - 4))) + 0.3::DOUBLE * rerank, 9) AS score FROM cand")
 def squashed_score(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("query", "chunk", F.round(E.squashed(F.col("final") * 8 - 4, F.col("rerank")), 6).alias("score"))
+    return _candidates(spark, sf_dir).select("query", "chunk", F.round(E.squashed(F.col("final") * 8 - 4, F.col("rerank")), 9).alias("score"))

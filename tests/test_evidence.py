@@ -72,3 +72,19 @@ def test_unknown_dates_fail_and_kinds_are_opt_in(spark):
     assert ids(E.scope(kinds=["doc_summary"])) == [3]
     assert ids(E.scope(source_types=["news"], entities=["a"])) == [1, 2]
     assert ids(E.relaxed(source_types=["news"], since="2019-01-01")) == [1, 2, 4]
+
+
+def test_refinement_of_documents_by_hand(spark):
+    """Against the sequential tokens and sentences, on whole documents."""
+    import re
+
+    from quillon import catalogue
+    from quillon.operators import language
+
+    folder = "/root/testdata/sf0.001"
+    wanted, found = set(language.tokens("permission notice of the license")), {r.doc_id: r.refined for r in catalogue.queries()["knowledge_refinement"](spark, folder).collect()}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        parts = [s for _, _, s in language.sentences(r.text or "")]
+        kept = [s for i, s in enumerate(parts) if i == 0 or set(language.tokens(s)) & wanted or r.source in s.lower() or re.search(r"\b(19|20)\d{2}\b", s)]
+        strip = len(parts) >= 4 and language.token_count(r.text) >= 100 and len(kept) < len(parts)
+        assert (" ".join(x.strip() for x in found[r.doc_id].split()) if r.doc_id in found else None) == (" ".join(" ".join(kept).split()) if strip else None)
