@@ -105,3 +105,21 @@ def ranked_claims(facts: DataFrame) -> DataFrame:
     told = facts.where(F.col("day").isNotNull()).join(contested, ["src", "rel", "dst"], "left_semi")
     w = Window.partitionBy("src", "rel", "dst").orderBy(F.desc("authority"), "day", "doc")
     return told.withColumn("place", F.row_number().over(w))
+
+
+def scores_by_query(edges: DataFrame, seeds: DataFrame, hinted: list[str], mentions: DataFrame | None = None, hops: int = 2, floor: float = 0.12) -> DataFrame:
+    """query, doc and score as in chunk_scores, for each query of seeds(query, seed); mentions(doc, node) of seeds in chunks count besides.
+
+    Edges meet nodes by key, each edge once from either end; a query's two views of an edge become one."""
+    each = seeds.select("query", "seed").distinct()
+    reached = each.join(reach(edges, each.select("seed").distinct(), hops), "seed")
+    far = reached.groupBy("query", "node").agg(F.min("dist").alias("dist"), F.countDistinct(F.when(F.col("dist") > 0, F.col("seed"))).alias("n"))
+    near = far.where(F.col("dist") <= hops - 1).select("query", "node", "dist", (F.col("n") >= 2).alias("bridge"))
+    ends = edges.select("*", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    seen = ends.join(near, "node").groupBy("query", "id", "chunk", "rel", "conf").agg(F.min("dist").alias("dist"), F.bool_or("bridge").alias("bridge"))
+    weight = F.col("conf") / (1 + F.col("dist")) * F.when(F.col("rel").isin(*hinted), 1.5).otherwise(1.0) * F.when(F.col("bridge"), 1.3).otherwise(1.0) * F.when(F.col("dist") == 0, 1.3).otherwise(1.0)
+    parts = seen.where(F.col("chunk").isNotNull() & (weight >= floor)).select("query", F.col("chunk").alias("doc"), weight.alias("w"))
+    if mentions is not None:
+        hits = mentions.select("doc", F.col("node").alias("seed")).distinct().join(each, "seed").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.unionByName(hits.select("query", "doc", (0.3 * F.col("n") + F.when(F.col("n") > 1, 0.4).otherwise(0.0)).alias("w")))
+    return parts.groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score"))

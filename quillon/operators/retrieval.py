@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,20 +179,48 @@ def metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     )
 
 
+def proximity(words: Column, wanted: Column) -> Column:
+    """How densely the best stretch of words holds 0.6 of the wanted ones that occur: the least span is found by two pointers, batch by batch."""
+
+    @F.pandas_udf("double")
+    def run(lists: pd.Series, terms: pd.Series) -> pd.Series:
+        from quillon.operators import language
+
+        return pd.Series([language.proximity(list(x), set(y)) if x is not None and y is not None else 0.0 for x, y in zip(lists, terms, strict=True)], dtype=float)
+
+    return run(words, wanted)
+
+
 def rerank_features(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """query, doc with cov, bigram, title and year, from pairs(query, question, doc, text, head) and weights(query, term, w)."""
+    """query, doc with cov, bigram, title, year, entity and prox, from pairs(query, question, doc, text, head) and weights(query, term, w).
+
+    pairs may tell entities and asked_entities (arrays) and published (a date as text); without them what they give is 0."""
+    given = set(pairs.columns)
     years = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0)))
     share = lambda a, b: F.when(F.size(b) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(b))
+    published = F.substring("published", 1, 4) if "published" in given else F.lit("")
+    named = share(F.array_distinct("entities"), F.array_distinct("asked_entities")) if {"entities", "asked_entities"} <= given else F.lit(0.0)
     whole = pairs.select(
         "query", "doc",
         T.tokens(F.col("text")).alias("words"), T.tokens(F.col("head")).alias("heads"), T.tokens(F.col("question")).alias("asked"),
-        ((F.size(years(F.col("question"))) > 0) & F.exists(years(F.col("question")), lambda y: F.col("text").contains(y))).cast("double").alias("year"),
+        F.coalesce(F.exists(years(F.col("question")), lambda y: F.contains("text", y) | F.coalesce(y == published, F.lit(False))), F.lit(False)).cast("double").alias("year"),
+        F.coalesce(named, F.lit(0.0)).alias("entity"),
     )
     weighted = weights.groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.sum("w").alias("total"))
     covered = lambda words: F.aggregate(F.filter("terms", lambda t: F.array_contains(words, t["term"])), F.lit(0.0), lambda s, t: s + t["w"]) / F.col("total")
-    return whole.join(F.broadcast(weighted), "query").select(
+    return whole.join(weighted, "query").select(
         "query", "doc", "year",
         F.round(covered(F.col("words")), 6).alias("cov"),
         F.round(share(F.array_distinct(T.bigrams(F.col("words"))), F.array_distinct(T.bigrams(F.col("asked")))), 6).alias("bigram"),
         F.round(covered(F.col("heads")), 6).alias("title"),
+        F.round("entity", 6).alias("entity"),
+        F.round(proximity(F.col("words"), F.transform("terms", lambda t: t["term"])), 6).alias("prox"),
     )
+
+
+def priors(scored: DataFrame) -> DataFrame:
+    """query, doc, dense and bm25 from scored(query, doc, list, score): each list's score as a share of the best among the query's candidates; nothing below 0."""
+    best = F.max("score").over(Window.partitionBy("query", "list"))
+    part = scored.withColumn("p", F.when(best > 0, F.greatest(F.col("score"), F.lit(0.0)) / best).otherwise(0.0))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("list") == name, F.col("p"))), F.lit(0.0)).alias(name)
+    return part.groupBy("query", "doc").agg(of("dense"), of("bm25"))

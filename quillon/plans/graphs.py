@@ -144,3 +144,20 @@ def mention_pairs(spark, sf_dir):
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null")
+
+
+@register(
+    "graph_search_batch",
+    f"""WITH {_EDGES}, {_BOTH}, s0 AS (SELECT n_regionkey::BIGINT AS query, n_nationkey::BIGINT AS seed FROM nation),
+    h1 AS (SELECT DISTINCT query, seed, nxt AS node FROM s0 JOIN both_ways ON seed = node WHERE nxt <> seed),
+    h2 AS (SELECT DISTINCT query, seed, b.nxt AS node FROM h1 JOIN both_ways b USING (node) WHERE b.nxt <> seed),
+    near AS (SELECT query, node, min(d) AS d FROM (SELECT query, seed AS node, 0 AS d FROM s0 UNION ALL SELECT query, node, 1 FROM h1) GROUP BY ALL),
+    br AS (SELECT query, node FROM (SELECT * FROM h1 UNION SELECT * FROM h2) GROUP BY ALL HAVING count(DISTINCT seed) >= 2),
+    t AS (SELECT query, id, any_value(chunk) AS chunk, any_value(conf) AS conf, any_value(rel) AS rel, min(d) AS d, bool_or((query, node) IN (SELECT (query, node) FROM br)) AS bridge FROM (SELECT src AS node, * FROM edges UNION SELECT dst, * FROM edges) JOIN near USING (node) GROUP BY query, id),
+    w AS (SELECT query, chunk, conf / (1 + d) * CASE WHEN rel = 'PARTNERS_WITH' THEN 1.5::DOUBLE ELSE 1::DOUBLE END * CASE WHEN bridge THEN 1.3::DOUBLE ELSE 1::DOUBLE END * CASE WHEN d = 0 THEN 1.3::DOUBLE ELSE 1::DOUBLE END AS w FROM t)
+    SELECT query, chunk AS doc, round(sum(w), 6) AS score FROM w WHERE w >= 0.12 GROUP BY ALL""",
+)
+def graph_search_batch(spark, sf_dir):
+    """Each region asks by its nations."""
+    seeds = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("query"), F.col("n_nationkey").cast("long").alias("seed"))
+    return G.scores_by_query(_edges(spark, sf_dir), seeds, ["PARTNERS_WITH"])

@@ -257,3 +257,21 @@ def stem_vocabulary(spark, sf_dir):
 def stems(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@register(
+    "rerank_proximity",
+    f"""{_BM25}, cand AS (SELECT doc FROM scored ORDER BY score DESC, doc LIMIT 50),
+    seq AS (SELECT doc_id AS doc, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS i FROM tok WHERE doc_id IN (SELECT doc FROM cand)),
+    hit AS (SELECT seq.* FROM seq SEMI JOIN terms USING (term)),
+    need AS (SELECT doc, greatest(1, floor(0.6 * count(DISTINCT term)))::INT AS need FROM hit GROUP BY doc),
+    firsts AS (SELECT a.doc, a.i, b.term, min(b.i) AS j FROM hit a JOIN hit b ON a.doc = b.doc AND b.i >= a.i GROUP BY ALL),
+    span AS (SELECT doc, i, j - i + 1 AS width, row_number() OVER (PARTITION BY doc, i ORDER BY j) AS n FROM firsts)
+    SELECT span.doc, round(least(1::DOUBLE, need / min(width)::DOUBLE), 6) AS prox FROM span JOIN need ON span.doc = need.doc AND n = need GROUP BY span.doc, need""",
+)
+def rerank_proximity(spark, sf_dir):
+    """How densely the 50 best of BM25 hold the question's terms."""
+    asked = _question(spark)
+    best = R.top(R.bm25(_postings(spark, sf_dir), R.query_terms(asked, "query", "text")), 50).select("doc")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(best, "doc")
+    return docs.select("doc", F.round(R.proximity(T.tokens(F.col("text")), F.array_distinct(T.tokens(F.lit(QUESTION)))), 6).alias("prox"))
