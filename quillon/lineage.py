@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own, or a new one where none is set."""
+    """The folder that driver and executors share: the session's own. Where none is set, a new one on one machine, and an error on a cluster."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
