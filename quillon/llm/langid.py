@@ -89,6 +89,7 @@ def train(vectors: np.ndarray, labels: np.ndarray, languages: list[str]) -> dict
             each = -target / (1 + np.exp(margin)) * share[part]
             slope += v.T @ each
             slope_bias += each.sum(0)
+            del v  # before the next is made
         after = ahead - 8.0 * slope
         bias -= slope_bias
         ahead, weights = after + step / (step + 3) * (after - weights), after
@@ -130,16 +131,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        numbers, vectors, known = [], [], set()
+        numbers, vectors, known = [], bytearray(), set()
         for batch in batches:
             for row in zip(batch.column("number").to_pylist(), batch.column("chance").to_pylist(), batch.column("vector").to_pylist(), strict=True):
                 if row[:2] not in known:
                     known.add(row[:2])
                     numbers.append(row[0])
-                    vectors.append(row[2])
+                    vectors += row[2]
         if not numbers:
             return
-        model = train(np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1), np.array(numbers), languages)
+        model = train(np.frombuffer(vectors, np.float16).reshape(len(numbers), -1), np.array(numbers), languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # The exact bound is drawn on numbers alone; at most TRAIN_BYTES / width of them go on.

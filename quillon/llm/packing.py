@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, cut, documents, raw
+from quillon.llm.common import blocks, cut, documents, raw, remembered
 
 CAPACITY = 2048
 GROUP = 16384
@@ -150,22 +150,14 @@ class Encoder:
         return np.split(ids, ends[np.cumsum([len(x) for x in found])[:-1]])
 
 
-def remembered(path: str) -> Encoder:
-    """This process's encoder for the file: what it has learned lasts from task to task, and changes no result. Functions come to workers by value, so that a module cannot hold it."""
-    import sys
-
-    held = sys.__dict__.setdefault("_quillon_encoders", {})
-    return held.get(path) or held.setdefault(path, Encoder(path))
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece of each text: doc_id, piece, start, length, ids_crc32."""
     kind = docs.schema[key].dataType
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembered(tokenizer)
-        for table in blocks(batches, "t", LOOKUP_BYTES):
+        encoder = remembered(tokenizer, lambda: Encoder(tokenizer))  # what it has learned changes no result
+        for table in blocks(batches, "t", LOOKUP_BYTES, keep=tokenizer):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, found in enumerate(encoder.encode_all(raw(table.column("t")))):
                 ids = np.append(found, 0).astype("<u4")

@@ -532,6 +532,33 @@ def test_many_languages_and_repeats(spark):
     assert tie[0].tolist() == [0, 0]
 
 
+def test_training_holds_one_batch(monkeypatch):
+    """Vectors are widened one batch at a time, and none outlives its step."""
+    import tracemalloc
+
+    monkeypatch.setattr(langid, "STEPS", 3)
+    vectors = np.ones((1000, 1 << langid.FEATURE_BITS), np.float16)
+    tracemalloc.start()
+    langid.train(vectors, np.arange(1000) % 3, ["a", "b", "c"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 2 * vectors.nbytes
+
+
+def test_workers_give_back_what_other_operators_kept():
+    import pyarrow as pa
+
+    from quillon.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a"]})
+    made = []
+    for keep, times in (("words", 1), ("words", 1), (None, 2)):
+        list(common.blocks(iter([batch]), "t", keep=keep))
+        common.remembered("words", lambda: made.append(0) or object())
+        assert len(made) == times
+    common.released()
+
+
 def test_toxicity_learns_within_bounds(spark, monkeypatch):
     """Long texts stop at the bound of bytes; a repeated id is learned from once."""
     long = " ".join(f"w{i}" for i in range(4000))
