@@ -16,7 +16,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ from quillon.llm.common import blocks, cut, documents, raw, remembered
 
 CAPACITY = 2048
 GROUP = 16384
-#: Distinct words that a worker process remembers, over all its tasks; beyond it, it forgets all and goes on.
-WORDS = 700_000
+#: Distinct words that a worker process remembers, over all its tasks; beyond it, it forgets those met once and goes on. It changes no result.
+WORDS = 400_000
 #: ASCII punctuation without the apostrophe, which can begin a piece with the letters after it.
 PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
+#: The characters by which byte-level tokenizers write bytes that are not printable (a space stays one).
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 #: Text bytes that are looked up at once.
 LOOKUP_BYTES = 4 << 20
 
@@ -49,59 +53,106 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.latin = Tokenizer(self.tokenizer.model)
+        self.latin.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words: defaultdict[bytes, int] = defaultdict(count().__next__)  # a word not met before gets the next number
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 18, np.int32) for _ in range(3))
         self.filled = 0
 
-    def learn(self, new: list[bytes]) -> None:
-        """Letters, and letters before punctuation, go to the tokenizer many at a time, parted by where tokens end words; other words one by one."""
-        plain, pieces, rest = [], [], []
-        for word in new:
-            if (text := word.decode()).isalpha():
-                plain.append(word)
-                pieces.append(1)
-            elif text.rstrip(PUNCTUATION).isalpha():
-                plain.append(word)
-                pieces.append(2)
-            else:
-                rest.append(word)
-        order, flat, sizes = [], [], []
-        for begin in range(0, len(plain), 2048):
-            part = plain[begin : begin + 2048]
-            joined = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
-            stops, last = np.flatnonzero(self.ends[joined]) + 1, np.cumsum(pieces[begin : begin + 2048])
-            if len(stops) == last[-1]:
-                order += part
-                flat.append(joined)
-                sizes.append(np.diff(stops[last - 1], prepend=0))
-            else:
-                rest += part
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
-        order += rest
-        flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat, sizes = np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
+    def shrink(self) -> None:
+        """Forgets the words met once since the last time, or all, if others are too many."""
+        kept = np.flatnonzero(self.uses[: len(self.words)] > 1)
+        if len(kept) > WORDS // 2:
+            return self.forget()
+        words, flat, sizes = list(self.words), self.gathered(kept), self.sizes[kept]
+        self.forget()
+        self.words.update((words[i], self.words.default_factory()) for i in kept.tolist())
+        self._store(np.arange(len(kept)), flat, sizes)
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word; words not met before are learned."""
+        if len(self.words) > WORDS:
+            self.shrink()
         known = len(self.words)
+        out = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        if len(self.words) > known:
+            self.learn(known)
+        uses = np.bincount(out)
+        self.uses[: len(uses)] += uses.astype(np.int32)
+        return out
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _store(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while known + len(new) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while len(self.words) > len(self.starts):
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         self.ids[self.filled : self.filled + len(flat)] = flat
-        self.starts[known : known + len(new)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[known : known + len(new)] = sizes
-        self.words.update(zip(order, range(known, known + len(new)), strict=True))
+        self.starts[numbers] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
         self.filled += len(flat)
 
+    def learn(self, known: int) -> None:
+        """Ids of the words numbered from `known`. Letters go to the tokenizer many at a time, parted by where tokens end words; letters before punctuation
+        are the ids of both, each learned once; other words go one by one.
+
+        Latin letters go there as the bytes' characters, past the normalizer and the patterns, which would change nothing more."""
+        latin, other, rest, joint = ([], [], []), ([], [], []), ([], []), ([], [])
+        at = known
+        while at < len(self.words):  # what is found to be a part of a word becomes a word
+            for number, word in enumerate(list(islice(reversed(self.words), len(self.words) - at))[::-1], at):
+                text = word.decode()
+                base = text.rstrip(PUNCTUATION)
+                if not base.isalpha():
+                    rest[0].append(number)
+                    rest[1].append(text)
+                elif text.isascii() or max(text) < "\u0300" and "\u0130" not in text:
+                    if len(base) < len(text):
+                        joint[0].append(number)
+                        joint[1].extend((self.words[base.encode()], self.words[text[len(base) :].encode()]))
+                    else:
+                        latin[0].append(number)
+                        latin[1].append(text)
+                        latin[2].append(1)
+                else:
+                    other[0].append(number)
+                    other[1].append(text)
+                    other[2].append(1 + (len(base) < len(text)))
+                at = number + 1
+        for tokenizer, (numbers, texts, pieces) in ((self.latin, latin), (self.tokenizer, other)):
+            for begin in range(0, len(numbers), 2048):
+                part, joined = slice(begin, begin + 2048), " ".join(texts[begin : begin + 2048])
+                if tokenizer is self.latin:
+                    joined = joined.lower().encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[part])
+                if len(stops) == last[-1]:
+                    self._store(np.array(numbers[part]), ids, np.diff(stops[last - 1], prepend=0))
+                else:
+                    rest[0].extend(numbers[part])
+                    rest[1].extend(texts[part])
+        if rest[0]:
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(rest[1], add_special_tokens=False)]
+            self._store(np.array(rest[0]), np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if joint[0]:
+            parts = np.array(joint[1])
+            self._store(np.array(joint[0]), self.gathered(parts), self.sizes[parts].reshape(-1, 2).sum(1))
+
     def encode(self, text: bytes) -> Iterator[np.ndarray]:
         """Ids of the text, a stretch of about LOOKUP_BYTES at a time."""
         begin = 0
@@ -111,16 +162,7 @@ class Encoder:
                 end = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end)) + 1 or len(text)
             found = split(text[begin:end])
             begin = end
-            if len(self.words) > WORDS:
-                self.forget()
-            new = set(found).difference(self.words)
-            if new:
-                self.learn(list(new))
-            numbers = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
-            sizes = self.sizes[numbers]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(total)]
+            yield self.gathered(self.numbers(found))
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. Texts are looked up together, about LOOKUP_BYTES at a time."""
@@ -138,16 +180,9 @@ class Encoder:
             return [np.concatenate([*self.encode(texts[0]), np.zeros(0, np.uint32)])]
         found = [split(x) for x in texts]
         every = [w for words in found for w in words]
-        if len(self.words) > WORDS:
-            self.forget()
-        new = set(every).difference(self.words)
-        if new:
-            self.learn(list(new))
-        numbers = np.fromiter(map(self.words.__getitem__, every), np.int64, len(every))
-        sizes = self.sizes[numbers]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
-        return np.split(ids, ends[np.cumsum([len(x) for x in found])[:-1]])
+        numbers = self.numbers(every)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
+        return np.split(self.gathered(numbers), ends[np.cumsum([len(x) for x in found])[:-1]])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

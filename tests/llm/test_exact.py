@@ -73,6 +73,26 @@ def test_encoder_knows_odd_words():
         assert [i for part in encoder.encode(text.encode()) for i in part] == list(ids)
 
 
+def test_encoder_keeps_words_that_come_again(monkeypatch):
+    """Over its bound the encoder forgets words met once; ids are the tokenizer's throughout, letters and punctuation learned apart."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WORDS", 600)
+    plain, encoder = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    chance = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCÉéÀñßŁőİıﬁдЖ漢")
+    for turn in range(6):
+        words = ["".join(chance.choice(letters, chance.integers(1, 14))) + str(chance.choice(["", "", ",", "...", "$$$", "'s", "<|", "1"])) for _ in range(300)]
+        text = " ".join(["Again&&& again", *words, "again,"])
+        assert [i for part in encoder.encode(text.encode()) for i in part] == plain.encode(text, add_special_tokens=False).ids
+        if len(encoder.words) > packing.WORDS:
+            break
+    list(encoder.encode(b"once"))
+    assert b"again" in encoder.words and b"once" in encoder.words and words[5].encode() not in encoder.words and len(encoder.words) < 300
+    for text in ("again once", f"again&&& {words[5]}, AGAIN,"):
+        assert [i for part in encoder.encode(text.encode()) for i in part] == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_places_by_least_sum():
     sizes = [5, 3, 3, 7, 2, 2, 5, 1, 10, 4]
     bins, offsets = packing.sum_of_squares(np.array(sizes), 10)
