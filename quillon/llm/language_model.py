@@ -29,7 +29,9 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -92,6 +94,8 @@ for _byte in range(256):
     _PLACE[_byte, : _COUNT[_byte]] = np.flatnonzero(_BITS[_byte])
 #: Bytes of high bits between two entries of the directories.
 STRIDE = 8
+#: 1 in each of eight bytes.
+EACH = np.uint64(0x0101010101010101)
 
 
 class Sequence:
@@ -127,16 +131,18 @@ class Sequence:
         # Past the last word there are only zeros.
         beyond = word >= len(self.high) // STRIDE
         inside = np.where(beyond, 0, word)
-        own = self.high[inside[:, None] * STRIDE + np.arange(STRIDE)]
+        own = self.high.view("<u8")[inside]  # the first byte is the lowest
         if not ones:
             own = ~own
-        left = rank - directory[inside]
-        counts = np.cumsum(_COUNT[own], axis=1, dtype=np.int64)
-        byte = (counts <= left[:, None]).sum(1)
-        byte[beyond] = 0
-        row = np.arange(len(rank))
-        left = left - np.where(byte > 0, counts[row, np.maximum(byte - 1, 0)], 0)
-        place = word.astype(np.int64) * (8 * STRIDE) + byte * 8 + _PLACE[own[row, byte], np.where(beyond, 0, left)]
+        left = np.where(beyond, 0, rank - directory[inside]).astype(np.uint64)
+        # Ones in each byte, then in it and those before, all eight at once; the byte sought follows those that hold too few.
+        counts = own - (own >> np.uint64(1) & np.uint64(0x5555555555555555))
+        counts = (counts & np.uint64(0x3333333333333333)) + (counts >> np.uint64(2) & np.uint64(0x3333333333333333))
+        counts = (counts + (counts >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * EACH
+        shift = np.bitwise_count((left * EACH | EACH << np.uint64(7)) - counts & EACH << np.uint64(7)).astype(np.uint64) << np.uint64(3)
+        shift[beyond] = 0
+        left -= counts << np.uint64(8) >> shift & np.uint64(255)
+        place = word.astype(np.int64) * (8 * STRIDE) + shift.astype(np.int64) + _PLACE[own >> shift & np.uint64(255), np.where(beyond, np.uint64(0), left)]
         return np.where(beyond, word.astype(np.int64) * (8 * STRIDE) + (rank - directory[np.minimum(word, len(directory) - 1)]), place)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -144,9 +150,8 @@ class Sequence:
             return np.zeros(len(i), np.int64)
         self.decoded += len(i)
         at = i.astype(np.int64) * self.low_bits
-        window = np.zeros(len(i), np.uint64)
-        for j in range(8):
-            window = window << np.uint64(8) | self.low[(at >> 3) + j]
+        # Eight bytes from any byte on, as one number.
+        window = np.ndarray(len(self.low) - 7, ">u8", self.low, strides=(1,))[at >> 3].astype(np.uint64)
         return (window << (at & 7).astype(np.uint64) >> np.uint64(64 - self.low_bits)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -235,7 +240,7 @@ class Trie:
             n_words, heads, sizes = pickle.loads(f.read(at := int.from_bytes(f.read(8), "little")))
         at += 8
         arrays = []
-        whole = np.memmap(path, np.uint8, "r")
+        whole = np.memmap(path, np.uint8, "r").view(np.ndarray)  # still mapped, without a memmap's cost for each slice
         for size in sizes:
             arrays.append(whole[at : at + size])
             at += size
@@ -345,13 +350,11 @@ MARKS = [b"\x20start", b"\x20end"]
 
 def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of the texts with END after each, their lengths, and the words' hashes; frequent words have small numbers."""
-    numbers: dict[bytes, int] = {}
+    numbers: defaultdict[bytes, int] = defaultdict(count(2).__next__)  # a word not met before gets the next number
     lengths = np.empty(len(texts), np.int64)
     parts = []
     for i, text in enumerate(texts):
         words = text.lower().split()
-        if new := set(words).difference(numbers):
-            numbers.update(zip(new, range(len(numbers) + 2, len(numbers) + 2 + len(new)), strict=True))
         ids = np.empty(len(words) + 1, np.int32)
         ids[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         ids[-1] = END

@@ -630,3 +630,17 @@ def test_trie_against_a_dictionary(tmp_path):
     third = trie.triples(found, asked[:, 1].astype(np.int32), asked[:, 2])
     order = {t: i for i, t in enumerate(rows)}
     assert third.tolist() == [order.get((place.get((x, y), -1), z), -1) for x, y, z in asked.tolist()]
+
+
+def test_numbers_are_selected_in_words():
+    """Reading numbers takes a few words for each, not a row of eight counters."""
+    import tracemalloc
+
+    v = np.unique(np.random.default_rng(2).integers(0, 10**7, 200_000))
+    form, at = language_model.Sequence.of(v), np.arange(len(v))
+    tracemalloc.start()
+    found = form._select(at, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found - at == v >> form.low_bits).all() and (form.get(at) == v).all()
+    assert peak < 110 * len(v)
