@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, documents, raw
+from quillon.llm.common import blocks, carried, documents, raw
 from quillon.sharing import Shared
 
 WINDOW = 10
@@ -207,13 +207,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: st
     tests = suites(docs.sparkSession, benchmark, window, most=most)
     names = [x.split()[0] for x in FIELDS.split(", ")]
     given = docs.columns if keep else [key]
-    own = [f"_{i}" for i in range(len(given))]
-    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(given, own, strict=True)), F.col(text).alias("t"))
+    frame, own, at = carried(docs, given, text)
     schema = ", ".join(f"{o} {frame.schema[o].dataType.simpleString()}" for o in own) + ", " + FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "t"):
-            texts = [words(x) for x in raw(table.column("t"))]
+        for table in blocks(batches, at):
+            texts = [words(x) for x in raw(table.column(at))]
             n_hit, items, longest = search(texts, (b.value(keep=len(tests) == 1) for b in tests))
             sort = [sorted(x) for x in items]
             columns = [pa.array([len(w) for w in texts], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in sort], pa.int64()), pa.array(sort, pa.list_(pa.string()))]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, documents, remainder
+from quillon.llm.common import blocks, carried, documents, released, remainder
 from quillon.llm.ngrams import hashed
 
 ORDERS, FEATURE_BITS = range(1, 4), 13
@@ -131,6 +131,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
+        released()
         numbers, vectors, known = [], bytearray(), set()
         for batch in batches:
             for row in zip(batch.column("number").to_pylist(), batch.column("chance").to_pylist(), batch.column("vector").to_pylist(), strict=True):
@@ -161,19 +162,21 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
 
     names = fresh(docs.columns, "lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [f"_{i}" for i in range(len(docs.columns))]
-    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)), F.col(text).alias("t"))
+    frame, own, at = carried(docs, docs.columns, text)
     schema = ", ".join(f"{o} {frame.schema[o].dataType.simpleString()}" for o in own) + ", lang_pred string, score double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        for table in blocks(batches, "t"):
-            texts = table.column("t").to_pylist()
+        for table in blocks(batches, at):
+            texts = table.column(at).to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             rows = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))] if learned else []
             for begin in range(0, len(rows), 512):
                 part = rows[begin : begin + 512]
-                best, share = decode(learned, np.stack([vector(texts[i]) for i in part]))
+                vectors = np.empty((len(part), 1 << FEATURE_BITS), np.float32)
+                for row, i in enumerate(part):
+                    vectors[row] = vector(texts[i])
+                best, share = decode(learned, vectors)
                 for i, b, s in zip(part, best, share, strict=True):
                     lang[i], score[i] = learned["languages"][b], float(s)
             yield from pa.table([*(table.column(o) for o in own), pa.array(lang, pa.string()), pa.array(score), pa.array(score < SURE)], [*own, "lang_pred", "score", "ambiguous"]).to_batches()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, documents, fresh
+from quillon.llm.common import blocks, carried, documents, fresh
 
 SCOPE = 200
 #: What ends a paragraph, and with it the reach of a candidate.
@@ -134,15 +134,14 @@ def redact(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
 def findings(docs: DataFrame, text: str = "text", scope: int = SCOPE, masked: bool = False) -> DataFrame:
     """docs with spans (array of kind, begin, end) and, if masked, the redacted text (each name with a _ more if it is taken)."""
     names = fresh(docs.columns, "spans", "redacted")
-    own = [f"_{i}" for i in range(len(docs.columns))]
-    frame = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)), F.col(text).alias("t"))
+    frame, own, at = carried(docs, docs.columns, text)
     span = "array<struct<kind:string,begin:int,end:int>>"
     schema = ", ".join(f"{o} {frame.schema[o].dataType.simpleString()}" for o in own) + f", spans {span}, redacted string"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "t"):
-            texts = table.column("t").to_pylist()
+        for table in blocks(batches, at):
+            texts = table.column(at).to_pylist()
             found = [scan(x, scope) for x in texts]
             clean = [redact(x, s) if s else x for x, s in zip(texts, found, strict=True)] if masked else [None] * len(texts)
             spans = pa.array([[dict(zip(("kind", "begin", "end"), s, strict=True)) for s in x] for x in found], kind)

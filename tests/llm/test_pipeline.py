@@ -25,6 +25,17 @@ def test_stages_take_effect(spark, messy):
     assert PASSAGE not in {r.text for r in out["secrets"].collect()}
 
 
+def test_texts_go_to_the_workers_once(spark, messy):
+    """A stage that carries the text beside its result sends one copy of it."""
+    docs = spark.read.parquet(f"{messy}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("languages", "decontamination", "secrets"):
+            plan = stage(spark, docs, messy)._jdf.queryExecution().optimizedPlan()
+            while plan.nodeName() != "MapInArrow":
+                plan = plan.children().head()
+            assert plan.children().head().output().size() == len(COLUMNS), name
+
+
 def test_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
