@@ -126,10 +126,10 @@ def latency_percentiles(spark, sf_dir):
 
 @register("rate_window", "SELECT user_id, max(n) AS peak, count(*) FILTER (n > 2) AS over FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY user_id")
 def rate_window(spark, sf_dir):
-    """A sliding limiter: requests within the last hour, at each request."""
+    """A sliding limiter: requests within the last hour, at each request. Times are rounded to whole seconds, halves to the even one."""
     from pyspark.sql import Window
 
-    seconds = F.col("ts").cast("timestamp").cast("long")
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
     w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-3600, 0)
     return table(spark, sf_dir, "events").select("user_id", F.count(F.lit(1)).over(w).alias("n")).groupBy("user_id").agg(F.max("n").alias("peak"), F.count_if(F.col("n") > 2).alias("over"))
 
