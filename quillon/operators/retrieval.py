@@ -68,93 +68,140 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors that meet the stored vectors in one pass.
-BLOCK = 2048
+#: Query vectors that meet the stored vectors in one pass, scores that a task works out at once, and found rows that it holds.
+BLOCK, TILE, HELD = 2048, 1 << 20, 100_000
+
+
+def _tiles(batches, asked, q, apart: bool):
+    """(docs, scores) of slices of the batches: scores has a row for each query and at most TILE entries, whatever the batches' sizes. -inf: a query's own vector."""
+    import numpy as np
+    import pyarrow as pa
+
+    own: dict = {}
+    for i, name in enumerate(asked):
+        own.setdefault(name, []).append(i)
+    step = max(1, TILE // max(1, len(asked)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            column = part.column("doc")
+            docs = column.to_numpy() if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), object)
+            vectors = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+            score = q @ vectors.T
+            np.round(score, 6, out=score)
+            if apart:
+                for j, d in enumerate(docs.tolist()):
+                    for i in own.get(d, ()):
+                        score[i, j] = -np.inf
+            yield docs, score
+
+
+def _in_blocks(vectors: DataFrame, queries: DataFrame, scan, schema: str) -> DataFrame:
+    """The rows that scan(queries of a block, shared) finds, over all blocks of BLOCK queries, each sent to the stored vectors by itself, so that no task or broadcast holds more of them."""
+    import numpy as np
+
+    from quillon.sharing import Shared
+
+    spark, found, held = vectors.sparkSession, None, []
+
+    def flush():
+        nonlocal found, held
+        if held:
+            block = Shared(spark, ([r["query"] for r in held], np.array([r["q"] for r in held], np.float64)))
+            part = vectors.select("doc", "v").mapInArrow(scan(block), schema)
+            found = part if found is None else found.unionByName(part)
+            held = []
+
+    for row in queries.select("query", "q").toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            flush()
+    flush()
+    return found if found is not None else spark.createDataFrame([], schema)
+
+
+def _arrow(kind: str):
+    import pyarrow as pa
+
+    return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, apart: bool = True) -> DataFrame:
     """query, doc, score of vectors(doc, v) for queries(query, q): the k best of each task, or all that score at least `least`.
 
-    Queries of any number are read in blocks of BLOCK, each sent to the stored vectors by itself, so that no task or broadcast holds more of them.
     apart: a vector is no answer to the query of its own id. All vectors have one length."""
     import numpy as np
     import pyarrow as pa
 
-    from quillon.sharing import Shared
-
     if (k is None) == (least is None):
         raise ValueError("either k or least")
-    spark, names = vectors.sparkSession, ["query", "doc", "score"]
-    queries = queries.select("query", "q")
-    arrow = {"bigint": pa.int64(), "int": pa.int32()}
-    asks, answers = (arrow.get(t, pa.string()) for t in (dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]))
-    schema = f"query {dict(queries.dtypes)['query']}, doc {dict(vectors.dtypes)['doc']}, score double"
-    matrix = lambda column, n: column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["doc"]
+    asks, answers = map(_arrow, kinds)
+    tiles = _tiles
 
     def scan(block):
         def run(batches):
             asked, q = block.value()
-            held = ([], [], [])
+            floor, held = np.full(len(asked), -np.inf if k is not None else least), ([], [], [])
 
             def settled():
-                who, docs, score = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(held, (np.int64, object, float), strict=True))
-                order = np.lexsort((docs, -score, who)) if len(who) else np.zeros(0, np.int64)
+                who, docs, score = (np.concatenate(x) for x in held)
+                order = np.lexsort((docs, -score, who))
                 who, docs, score = who[order], docs[order], score[order]
                 if k is not None:
-                    first = np.arange(len(who)) - np.searchsorted(who, who) < k
-                    who, docs, score = who[first], docs[first], score[first]
-                for column, x in zip(held, (who, docs, score), strict=True):
-                    column[:] = [x]
+                    place = np.arange(len(who)) - np.searchsorted(who, who)
+                    floor[who[place == k - 1]] = score[place == k - 1]
+                    who, docs, score = who[place < k], docs[place < k], score[place < k]
                 return who, docs, score
 
             def rows():
                 who, docs, score = settled()
-                return pa.RecordBatch.from_arrays([pa.array([asked[i] for i in who], asks), pa.array(list(docs), answers), pa.array(score)], names)
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                docs = np.array(batch.column("doc").to_pylist(), object)
-                score = np.round(q @ matrix(batch.column("v"), batch.num_rows).T, 6)
-                if apart:
-                    place = {d: i for i, d in enumerate(docs)}
-                    for i, name in enumerate(asked):
-                        if name in place:
-                            score[i, place[name]] = -np.inf
-                if k is None:
-                    who, at = np.nonzero(score >= least)
-                else:
-                    floor = np.partition(score, -min(k, batch.num_rows), axis=1)[:, -min(k, batch.num_rows)]
-                    who, at = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                return pa.RecordBatch.from_arrays([pa.array([asked[i] for i in who], asks), pa.array(docs.tolist(), answers), pa.array(score)], ["query", "doc", "score"])
+
+            for docs, score in tiles(batches, asked, q, apart):
+                least_here = floor
+                if k is not None and k < len(docs) and np.isinf(floor).any():
+                    least_here = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k])
+                who, at = np.nonzero((score >= least_here[:, None]) & (score > -np.inf))
                 for column, x in zip(held, (who, docs[at], score[who, at]), strict=True):
                     column.append(x)
-                if sum(map(len, held[0])) > 1_000_000:
+                if sum(map(len, held[0])) > HELD:
                     if k is None:
                         yield rows()
                         for column in held:
                             column.clear()
                     else:
-                        settled()
-            yield rows()
+                        for column, x in zip(held, settled(), strict=True):
+                            column[:] = [x]
+            if held[0]:
+                yield rows()
 
         return run
 
-    found, held = None, []
+    return _in_blocks(vectors, queries, scan, f"query {kinds[0]}, doc {kinds[1]}, score double")
 
-    def flush():
-        nonlocal found, held
-        if held:
-            block = Shared(spark, ([r["query"] for r in held], np.array([r["q"] for r in held], np.float64)))
-            part = vectors.select("doc", "v").mapInArrow(scan(block), schema)
-            found = part if found is None else found.unionByName(part)
-            held = []
 
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            flush()
-    flush()
-    return found if found is not None else spark.createDataFrame([], schema)
+def near(vectors: DataFrame, queries: DataFrame, least: float, apart: bool = True) -> DataFrame:
+    """query, hits and best: how many vectors(doc, v) score at least `least` for each of queries(query, q), and the best score. What is found is counted where it is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(queries.dtypes)["query"]
+    asks, tiles = _arrow(kind), _tiles
+
+    def scan(block):
+        def run(batches):
+            asked, q = block.value()
+            hits, best = np.zeros(len(asked), np.int64), np.full(len(asked), -np.inf)
+            for _, score in tiles(batches, asked, q, apart):
+                hits += (score >= least).sum(1)
+                np.maximum(best, score.max(1), out=best)
+            some = np.flatnonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in some], asks), pa.array(hits[some]), pa.array(best[some])], ["query", "hits", "best"])
+
+        return run
+
+    return _in_blocks(vectors, queries, scan, f"query {kind}, hits bigint, best double").groupBy("query").agg(F.sum("hits").alias("hits"), F.max("best").alias("best"))
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -165,9 +212,12 @@ def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 def metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """query with recall, precision, mrr and ndcg at k, from ranked(query, doc, rank) and gold(query, doc)."""
     wanted = gold.groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("n_gold"))
-    hits = ranked.where(F.col("rank") <= k).join(gold, ["query", "doc"], "left_semi").groupBy("query").agg(
-        F.count(F.lit(1)).cast("double").alias("hits"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg")
-    )
+    return rated(ranked.where(F.col("rank") <= k).join(gold, ["query", "doc"], "left_semi"), wanted, k)
+
+
+def rated(right: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The metrics from the ranked rows right(query, doc, rank) that are gold, none beyond k, and wanted(query, n_gold), for gold too large to be listed."""
+    hits = right.groupBy("query").agg(F.count(F.lit(1)).cast("double").alias("hits"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n_gold").cast("int"))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return wanted.join(hits, "query", "left").select(

@@ -26,3 +26,30 @@ def test_rate_window_rounds_seconds(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     found, want = same_as_sql(spark, tmp_path, "rate_window", "events")
     assert found == want
+
+
+def test_dense_works_in_tiles(spark, tmp_path, monkeypatch):
+    """No task holds more scores at once than a tile has, and gold is not listed: the four queries still give the rows of their SQL, with ties and repeated ids."""
+    import random
+
+    from quillon.operators import retrieval as R
+
+    r = random.Random(3)
+    rows = [(i if i < 280 else i - 100, [float(r.choice((-0.5, 0.0, 0.5))) for _ in range(4)], r.choice((1, 2, 3, 4, None))) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(R, "BLOCK", 7)
+    for name in ("dense_knn", "dense_filtered", "semantic_cache_hits", "retrieval_metrics"):
+        found, want = same_as_sql(spark, tmp_path, name, "embeddings")
+        assert [tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in found] == [tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in want], name
+
+
+def test_tiles_are_small():
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.operators import retrieval as R
+
+    n, queries = 5000, 2048
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(np.ones((n, 2)).tolist())], ["doc", "v"])
+    shapes = [score.shape for _, score in R._tiles(iter([batch]), list(range(queries)), np.ones((queries, 2)), True)]
+    assert sum(x[1] for x in shapes) == n and all(x[0] == queries and x[0] * x[1] <= R.TILE for x in shapes)
