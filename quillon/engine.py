@@ -18,25 +18,36 @@ CANDIDATES = 50
 
 
 class Corpus:
-    """Chunks(id, text, head, document, source, kind) with a term index and hashed vectors, each made once and kept.
+    """Chunks(id, text, head, document, source, kind) with a term index, read from the texts for each search, and hashed vectors, made once and kept.
 
     Chunks may tell entities (an array) and published (a date as text). facts(id, src, rel, dst, conf, active, chunk) are the edges between entities."""
 
     def __init__(self, chunks: DataFrame, facts: DataFrame | None = None):
         self.chunks, self.facts = chunks, facts
-        self.index = R.postings(chunks, "id", "text", ["head"]).persist()
+        self.kept: list[DataFrame] = []
         self.vectors = chunks.select(F.col("id").alias("doc"), language.embed("text").alias("v")).persist()
 
     def close(self) -> None:
-        self.index.unpersist()
-        self.vectors.unpersist()
+        for kept in (self.vectors, *self.kept):
+            kept.unpersist()
+        self.kept.clear()
 
-    def lists(self, questions: DataFrame, methods: list[str], k: int, allowed: DataFrame | None = None, hinted: list[str] | None = None) -> DataFrame:
-        """query, list, doc, score, rank: the k best of each method."""
+    def index(self, terms: DataFrame) -> DataFrame:
+        """The term index for terms of questions."""
+        return R.postings(self.chunks, "id", "text", ["head"], only=R.listed(terms))
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Rows of a search that several steps read: at most some for each question."""
+        self.kept.append(rows)
+        return rows.persist()
+
+    def lists(self, questions: DataFrame, methods: list[str], k: int, allowed: DataFrame | None = None, hinted: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
+        """query, list, doc, score, rank: the k best of each method. stats: the index's statistics for the questions' terms, if they are there already."""
         found = []
         for method in methods:
             if method == "bm25":
-                scored = R.bm25(self.index, R.query_terms(questions, "query", "text"), allowed)
+                terms = R.query_terms(questions, "query", "text")
+                scored = R.bm25(self.index(terms), terms, allowed, stats)
             elif method == "dense":
                 vectors = self.vectors.join(allowed, "doc", "left_semi") if allowed is not None else self.vectors
                 scored = R.dense(vectors, questions.select("query", language.embed("text").alias("q")), k, apart=False)
@@ -60,21 +71,24 @@ class Corpus:
         if mode in WEIGHTS:
             return self.lists(questions, [mode], k, allowed, hinted).drop("list")
         weight = {m: w for m, w in {**WEIGHTS, **(weights or {})}.items() if w > 0 and (m != "graph" or linked)}
-        ranked = self.lists(questions, list(weight), CANDIDATES if mode == "hybrid" else max(k, CANDIDATES), allowed, hinted)
+        terms = R.query_terms(questions, "query", "text")
+        stats = R.statistics(self.index(terms), terms)
+        self.kept.append(stats)
+        ranked = self.keep(self.lists(questions, list(weight), CANDIDATES if mode == "hybrid" else max(k, CANDIDATES), allowed, hinted, stats))
         heavy = reduce(lambda c, m: c.when(F.col("list") == m, weight[m]), weight, F.when(F.lit(False), 0.0))
         fused = R.fuse(ranked.withColumn("weight", heavy)).withColumnRenamed("fused", "score")
         if mode == "rrf":
             return R.top(fused, k)
         best = R.top(fused, CANDIDATES).select("query", "doc")
-        return R.top(self.reranked(questions, best, ranked), k)
+        return R.top(self.reranked(questions, best, ranked, stats), k)
 
-    def reranked(self, questions: DataFrame, best: DataFrame, ranked: DataFrame) -> DataFrame:
-        """query, doc, score: all eight features of the candidates best(query, doc), weighted."""
-        df = R.document_frequency(self.index).select("term", "idf")
+    def reranked(self, questions: DataFrame, best: DataFrame, ranked: DataFrame, stats: DataFrame) -> DataFrame:
+        """query, doc, score: all eight features of the candidates best(query, doc), weighted. stats: the index's statistics for the questions' terms."""
+        df = R.known_terms(stats).select("term", "idf")
         terms = R.query_terms(questions, "query", "text").join(df, "term", "left").select("query", "term", F.coalesce("idf", F.lit(0.5)).alias("w"))
         text = self.chunks.select(F.col("id").alias("doc"), "text", "head", *(c for c in ("entities", "published") if c in self.chunks.columns))
         asked = questions.select("query", F.col("text").alias("question"), *([F.col("entities").alias("asked_entities")] if "entities" in questions.columns else []))
-        features = R.rerank_features(best.join(text, "doc").join(asked, "query"), terms)
+        features = R.rerank_features(R.few(best, questions, CANDIDATES).join(text, "doc").join(asked, "query"), terms)
         known = R.priors(ranked.join(best, ["query", "doc"], "left_semi"))
         whole = features.join(known, ["query", "doc"])
         score = reduce(lambda s, c: s + F.col(c) * R.RERANK_WEIGHTS[c], R.RERANK_WEIGHTS, F.lit(0.0))
@@ -84,9 +98,10 @@ class Corpus:
         """query and answer: sentences of the evidence, each cited; no answer where the evidence is too weak."""
         import pandas as pd
 
-        found = self.search(questions, "hybrid", k).join(self.chunks.withColumnRenamed("id", "doc"), "doc").join(self.vectors, "doc")
-        candidates = found.select("query", F.col("doc").alias("chunk"), "document", "source", "kind", "text", "score", F.lit(1.0).alias("freshness"), "v")
-        kept = context.build(candidates, most).join(self.chunks.select(F.col("id").alias("chunk"), "text"), "chunk")
+        best = R.few(self.search(questions, "hybrid", k), questions, k)
+        found = best.join(self.chunks.withColumnRenamed("id", "doc"), "doc")
+        candidates = found.select("query", F.col("doc").alias("chunk"), "document", "source", "kind", "text", "score", F.lit(1.0).alias("freshness"), language.embed("text").alias("v"))
+        kept = R.few(context.build(candidates, most), questions, most).join(self.chunks.select(F.col("id").alias("chunk"), "text"), "chunk")
         pieces = kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("pieces"), F.max("final").alias("best"))
 
         def write(frames):

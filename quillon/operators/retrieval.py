@@ -14,13 +14,54 @@ RRF_K = 60
 RERANK_WEIGHTS = {"cov": 0.30, "bigram": 0.12, "entity": 0.18, "title": 0.08, "prox": 0.10, "year": 0.05, "dense": 0.12, "bm25": 0.05}
 
 
-def postings(docs: DataFrame, doc: str, text: str, fields: list[str] | None = None, boost: float = FIELD_BOOST) -> DataFrame:
-    """doc, term, tf, dl: a row for each term of each document. Terms of the fields weigh boost."""
-    terms = T.terms(docs, [F.col(doc).alias("doc"), F.lit(1.0).alias("w")], F.col(text))
-    if fields:
-        terms = terms.unionByName(T.terms(docs, [F.col(doc).alias("doc"), F.lit(float(boost)).alias("w")], F.concat_ws(" ", *fields)))
-    counted = terms.groupBy("doc", "term").agg(F.sum("w").alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")))
+#: Rows up to which the side of the questions is sent to all tasks.
+FEW = 1_000_000
+
+
+def is_few(rows: DataFrame, times: int = 1) -> bool:
+    """Whether the rows, times so many, are few enough to be sent to all tasks. Counts them, so rows are those of questions and not of documents."""
+    return rows.limit(FEW // times + 1).count() <= FEW // times
+
+
+def few(rows: DataFrame, of: DataFrame | None = None, times: int = 1) -> DataFrame:
+    """The rows, marked for broadcast where they are few: at most `times` for each row of `of`, or counted themselves."""
+    return F.broadcast(rows) if is_few(rows if of is None else of, times) else rows
+
+
+#: Terms of questions up to which other words are told from them word by word.
+LISTED = 10_000
+
+
+def listed(terms: DataFrame) -> list[str] | None:
+    """The distinct terms of questions(term), or None if they are too many to be named in a plan."""
+    found = [r[0] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    return found if len(found) <= LISTED else None
+
+
+def postings(docs: DataFrame, doc: str, text: str, fields: list[str] | None = None, boost: float = FIELD_BOOST, only: list[str] | None = None) -> DataFrame:
+    """doc, term, tf, dl, first: a row for each term of each document, of which one is its first. Terms of the fields weigh boost.
+
+    only: the terms that matter; all others of a document are one row of the empty term, so that statistics, matches and scores for these terms stay the same.
+
+    Texts meet by document once, as they are; terms are counted within a row, so that nothing of the index is dealt out, sorted or kept."""
+    head = F.concat_ws(" ", *fields) if fields else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), head.alias("head")).where(F.col("doc").isNotNull())
+    joined = lambda c: F.array_join(F.collect_list(c), "\n").alias(c)
+    whole = rows.repartition("doc").groupBy("doc").agg(joined("text"), *([joined("head")] if fields else []))
+    words = whole.select("doc", T.tokens(F.col("text")).alias("words"), *([T.tokens(F.col("head")).alias("heads")] if fields else []))
+    length = F.size("words") + F.size("heads") * float(boost) if fields else F.size("words").cast("double")
+    counted = words.select("doc", length.alias("dl"), "words", *(["heads"] if fields else []))
+    if only is not None:
+        told = ", ".join(f"'{t}'" for t in sorted(only)) or "''"  # terms hold letters, digits, points and hyphens
+        counted = counted.withColumns({c: F.expr(f"filter({c}, w -> w IN ({told}))") for c in ("words", "heads") if c in counted.columns})
+    bag = T.bag(F.col("words"), F.col("heads") if fields else None, boost)
+    if only is not None:
+        left = F.col("dl") - F.size("words") - (F.size("heads") * float(boost) if fields else 0)
+        others = F.when(F.col("dl") > 0, F.array(F.struct(F.lit("").alias("term"), left.cast("double").alias("tf"))))
+        bag = F.concat(others, F.coalesce(bag, F.array().cast("array<struct<term:string,tf:double>>")))
+    counted = counted.select("doc", "dl", bag.alias("bag"))
+    each = counted.select("doc", "dl", F.posexplode("bag").alias("_at", "_t"))
+    return each.select("doc", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"), "dl", (F.col("_at") == 0).cast("int").alias("first"))
 
 
 def without(index: DataFrame, gone: DataFrame) -> DataFrame:
@@ -30,7 +71,21 @@ def without(index: DataFrame, gone: DataFrame) -> DataFrame:
 
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n documents and their average length."""
-    return index.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    return index.agg(F.sum("first").cast("double").alias("n"), (F.sum("tf") / F.sum("first")).alias("avgdl"))
+
+
+def statistics(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df, tf, first of the index for the terms of questions, and a row of the empty term for all other postings: what is counted in one pass. Kept."""
+    asked = few(terms.select("term").distinct(), terms).withColumn("_asked", F.lit(True))
+    term = F.when(F.col("_asked"), F.col("term")).otherwise("").alias("term")
+    counted = index.join(asked, "term", "left").select(term, "tf", "first").groupBy("term")
+    return counted.agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("tf").alias("tf"), F.sum("first").alias("first")).persist()
+
+
+def known_terms(stats: DataFrame) -> DataFrame:
+    """term, df, n, avgdl, idf of the terms of questions that the index holds, from its statistics."""
+    counted = stats.where("term != ''").select("term", "df").crossJoin(F.broadcast(corpus_stats(stats)))
+    return counted.withColumn("idf", idf(F.col("n"), F.col("df")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -38,27 +93,32 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    stats = corpus_stats(index)
-    return index.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n"), F.col("df")))
+    """term, df, n, avgdl, idf of every term. Both sides of the join read the same counts, dealt out once: what is asked of them is the same."""
+    counted = index.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("tf").alias("tf"), F.sum("first").alias("first")).where("df > 0 AND tf >= 0 AND first >= 0")
+    return counted.select("term", "df").crossJoin(F.broadcast(corpus_stats(counted))).withColumn("idf", idf(F.col("n"), F.col("df")))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return T.terms(queries, [F.col(query).alias("query")], F.col(text)).distinct()
 
 
-def bm25(index: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def matched(index: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """query, doc, score by BM25, and shared, the number of terms that they share, for terms(query, term). stats: the index's statistics for these terms, if they are there already.
+
+    Few terms of questions go to the documents, whose postings are not dealt out for them."""
+    weights = terms.join(known_terms(statistics(index, terms) if stats is None else stats), "term").select("query", "term", "idf", "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = index.join(few(weights, terms), "term").select("query", "doc", part.alias("part"))
+    return found.groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).cast("double").alias("shared"))
+
+
+def bm25(index: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """query, doc, score. Statistics cover the whole index; `allowed` (doc) only limits what is scored."""
-    stats = corpus_stats(index)
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    if allowed is not None:
-        wanted = wanted.join(allowed, "doc", "left_semi")
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.select("term", "doc", part.alias("part")).join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = matched(index, terms, stats).select("query", "doc", "score")
+    return scored if allowed is None else scored.join(allowed, "doc", "left_semi")
 
 
-def top(scored: DataFrame, k: int, by: str = "query", item: str = "doc", score: str = "score") -> DataFrame:
+def top(scored: DataFrame, k: int, by: str | list[str] = "query", item: str = "doc", score: str = "score") -> DataFrame:
     """The k best items of each group with their rank; ties go to the smaller item."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(item)))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

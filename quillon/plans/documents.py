@@ -86,10 +86,11 @@ def mentions(spark, sf_dir):
 def mmr_context(spark, sf_dir):
     """Evidence for each benchmark passage as a question."""
     docs = table(spark, sf_dir, "documents")
-    index = R.postings(docs, "doc_id", "text")
-    best = R.top(R.bm25(index, R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")), 15)
+    items = table(spark, sf_dir, "benchmark")
+    terms = R.query_terms(items, "item_id", "text")
+    best = R.top(R.bm25(R.postings(docs, "doc_id", "text", only=R.listed(terms)), terms), 15)
     most = F.max("score").over(Window.partitionBy("query"))
-    joined = best.withColumn("score", F.col("score") / most).join(docs.select(F.col("doc_id").alias("doc"), "text", "source"), "doc")
+    joined = R.few(best.withColumn("score", F.col("score") / most), items, 15).join(docs.select(F.col("doc_id").alias("doc"), "text", "source"), "doc")
     candidates = joined.select("query", F.col("doc").alias("chunk"), F.col("doc").alias("document"), "source", F.lit("news").alias("kind"), "text", "score", F.lit(1.0).alias("freshness"), language.embed("text").alias("v"))
     return context.build(candidates)
 
@@ -98,11 +99,11 @@ def mmr_context(spark, sf_dir):
 def claims(spark, sf_dir):
     """Each benchmark passage as an answer that cites the first of the documents that hold it best, checked against these."""
     docs = table(spark, sf_dir, "documents")
-    index = R.postings(docs, "doc_id", "text")
     items = table(spark, sf_dir, "benchmark")
-    best = R.top(R.bm25(index, R.query_terms(items, "item_id", "text")), 3).select("query", "doc", "rank")
+    terms = R.query_terms(items, "item_id", "text")
+    best = R.top(R.bm25(R.postings(docs, "doc_id", "text", only=R.listed(terms)), terms), 3).select("query", "doc", "rank")
     piece = F.struct(F.concat(F.lit("E"), "rank").alias("name"), "text", F.lit("").alias("title"), "source")
-    texts = best.join(docs.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").groupBy("query").agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
+    texts = R.few(best, items, 3).join(docs.select(F.col("doc_id").alias("doc"), "text", "source"), "doc").groupBy("query").agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
     answers = items.select(F.col("item_id").alias("query"), F.concat("text", F.lit(" [E1]")).alias("answer")).join(texts, "query")
     return checks.verify(answers).select("query", "number", "claim", "verdict", F.round("coverage", 6).alias("coverage"), "cited_ok")
 

@@ -56,8 +56,9 @@ def token_bigrams(spark, sf_dir):
 @register("keywords_by_idf", f"WITH {tokens_sql('documents', 'doc_id', 'text')}, d AS (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM tok GROUP BY term), n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM tok), {tokens_sql('benchmark', 'item_id', 'text', name='q')}, t AS (SELECT DISTINCT item_id, term FROM q) SELECT item_id, term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM t JOIN d USING (term), n QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) DESC, term) <= 4")
 def keywords_by_idf(spark, sf_dir):
     """The four rarest terms of each question."""
-    df = R.document_frequency(R.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").join(df, "term").select("query", "term", F.round("idf", 6).alias("idf"))
+    terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    df = R.known_terms(R.statistics(R.postings(table(spark, sf_dir, "documents"), "doc_id", "text", only=R.listed(terms)), terms))
+    terms = terms.join(df, "term").select("query", "term", F.round("idf", 6).alias("idf"))
     return R.top(terms, 4, item="term", score="idf").select(F.col("query").alias("item_id"), "term", "idf")
 
 

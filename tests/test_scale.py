@@ -1,5 +1,6 @@
 """Odd rows and steps that have to stay small on large tables, against SQL or plain Python."""
 
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -53,3 +54,35 @@ def test_tiles_are_small():
     batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(np.ones((n, 2)).tolist())], ["doc", "v"])
     shapes = [score.shape for _, score in R._tiles(iter([batch]), list(range(queries)), np.ones((queries, 2)), True)]
     assert sum(x[1] for x in shapes) == n and all(x[0] == queries and x[0] * x[1] <= R.TILE for x in shapes)
+
+
+ODD = [(1, "Zeta models, GPT-4 and models"), (1, "the zeta model of 3.1"), (2, None), (3, ""), (4, "the of and"), (5, "alpha beta alpha GPT-4 beta's"), (6, "alpha zeta licensed licenses"), (7, "x alpha beta alpha GPT-4 beta's y")]
+
+
+def test_index_of_odd_documents(spark, tmp_path):
+    """Repeated ids are one document; empty and missing texts are none; terms that nobody asks for still count in lengths."""
+    spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "alpha beta alpha GPT-4 beta's"), (2, "zeta licenses of unknown things"), (3, "nothing there")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("bm25_topk", "bm25_idf", "bm25_batch", "bm25_field_boost", "rrf_fusion", "fused_topk", "prior_normalised", "metrics_by_mode", "keywords_by_idf"):
+        found, want = same_as_sql(spark, tmp_path, name, "documents", "benchmark")
+        plain = lambda rows: [tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in rows]
+        assert plain(found) == plain(want), name
+
+
+def test_postings_are_dealt_out_as_texts_only(spark):
+    """The texts are shuffled, not their terms: neither to count them nor to score them for few questions."""
+    from quillon.operators import retrieval as R
+
+    docs = spark.createDataFrame(ODD, "id long, text string")
+    index = R.postings(docs, "id", "text")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert plan(index).count("Exchange hashpartitioning") == 1 and "Window" not in plan(index)
+    terms = R.query_terms(spark.createDataFrame([(1, "zeta model")], "query long, text string"), "query", "text")
+    stats = R.statistics(index, terms)
+    stats.count()
+    main = plan(R.matched(index, terms, stats))
+    assert not re.search(r"hashpartitioning\((query#\w+, doc|doc#\w+, (term|query))", main) and "SortMergeJoin" not in main and "Window" not in main
+    small = R.postings(docs, "id", "text", only=R.listed(terms))
+    found = [sorted(map(tuple, R.bm25(i, terms).collect())) for i in (index, small)]
+    assert found[0] == found[1] and found[0]
