@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from quillon.operators import claims as checks
 from quillon.operators import communities, context, language, questions
 from quillon.operators import retrieval as R
 from quillon.plans.common import table
-from quillon.sharing import Shared
+from quillon.sharing import Shared, by_rows
 from quillon.sources import html
 
 
@@ -74,10 +73,7 @@ def mentions(spark, sf_dir):
     """Names of a bounded gazetteer in all documents."""
     names = Shared(spark, language.Gazetteer(ALIASES))
 
-    @F.pandas_udf("array<struct<entity:string,type:string,begin:int,end:int>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("entity", "type", "begin", "end"), m, strict=True)) for m in names.value().mentions(t or "")])
-
+    find = by_rows(lambda t: [dict(zip(("entity", "type", "begin", "end"), m, strict=True)) for m in names.value().mentions(t or "")], "array<struct<entity:string,type:string,begin:int,end:int>>")
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(find("text")).alias("m"))
     return found.select("doc_id", "m.entity", "m.begin", "m.end")
 

@@ -86,3 +86,52 @@ def test_postings_are_dealt_out_as_texts_only(spark):
     small = R.postings(docs, "id", "text", only=R.listed(terms))
     found = [sorted(map(tuple, R.bm25(i, terms).collect())) for i in (index, small)]
     assert found[0] == found[1] and found[0]
+
+
+def test_python_objects_of_few_rows_exist_at_once(spark):
+    """Whatever a batch holds: the slices written are those read, in order, with nulls and nested values."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import language
+    from quillon.sharing import ROWS, by_rows
+    from quillon.sources import html
+
+    rows = spark.range(500, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("Word "), "id")).alias("t"))
+    found = rows.select("id", by_rows(lambda i, t: {"n": i, "parts": (t or "").split()}, "struct<n:bigint,parts:array<string>>")("id", "t").alias("x")).collect()
+    assert [(r.id, list(r.x.parts)) for r in found] == [(i, ["Word", str(i)] if i % 7 else []) for i in range(500)]
+    assert ROWS <= 64
+    import pyarrow as pa
+
+    from quillon import sharing
+
+    made = []
+    held = sharing.F.arrow_udf
+    sharing.F.arrow_udf = lambda f, schema: lambda *columns: made.append(f)
+    try:
+        language.embed("t"), language.chunked("t"), html.documents.__globals__["by_rows"](lambda h, u: html.parse(h, u), html.SCHEMA)("h", "u")
+    finally:
+        sharing.F.arrow_udf = held
+    batch = pa.array(["<p>some text here</p>"] * 1000)
+    for f, values in ((made[0], batch), (made[2], (batch, batch))):
+        assert [len(x) for x in f(iter([values]))] == [ROWS] * (1000 // ROWS) + [1000 % ROWS]
+
+
+def test_mentions_are_those_of_every_run():
+    """Words that begin no name are passed over; the rest is as when each run is looked up."""
+    import random
+
+    from quillon.operators import language
+
+    aliases = [("OpenAI, Inc.", "openai", "ORGANIZATION"), ("GPT-4", "gpt-4", "MODEL"), ("Llama 3.1", "llama", "MODEL"), ("Mixture of Experts", "moe", "TECHNOLOGY"), ("The", "the", "ORGANIZATION"), ("Co", "co", "ORGANIZATION"), ("The Alpha Company", "alpha", "ORGANIZATION"), ("beta inc gamma", "bg", "TECHNOLOGY")]
+    names = language.Gazetteer(aliases)
+    asked = []
+    names.opens = lambda word, f=names.opens: asked.append(word) or f(word)
+    r = random.Random(5)
+    words = "OpenAI openai's OpenAI’s Inc. inc GPT-4 gpt 4 Llama 3.1 llama-3.1 mixture Mixture of-experts of experts the The the-alpha Alpha company Co co, beta Beta-inc gamma x-y, plain 3 .1 alpha-co".split()
+    for _ in range(300):
+        text = "".join(r.choice(words) + r.choice((" ", " ", "-", ", ", "  ")) for _ in range(r.randrange(25)))
+        found = names.mentions(text)
+        names.opens, held = lambda word: True, names.opens
+        assert found == names.mentions(text), text
+        names.opens = held
+    assert asked and not language.Gazetteer(aliases).opens("plain")
