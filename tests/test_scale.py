@@ -135,3 +135,21 @@ def test_mentions_are_those_of_every_run():
         assert found == names.mentions(text), text
         names.opens = held
     assert asked and not language.Gazetteer(aliases).opens("plain")
+
+
+def test_shingles_are_dealt_out_once_as_hashes(spark):
+    """Pairs are those of all pairs, by hand; what is dealt out for them holds no shingle but of documents that met."""
+    import random
+
+    from quillon.operators import similarity
+
+    r = random.Random(9)
+    base = [[r.choice("abcdefgh") + r.choice("xyzuvw") * 3 for _ in range(40)] for _ in range(12)]
+    rows = [(i, " ".join(b[:k] + ["qqq"] * (k < 40) + b[k + 1 :])) for i, (b, k) in enumerate((b, k) for b in base for k in (0, 1, 20, 39, 40, 40))] + [(900, None), (901, ""), (902, "one")]
+    classes = similarity.shingle_classes(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    sets = {x.doc: set(x.set) for x in classes.where("doc = rep").collect() if x.set is not None}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a < b and round(len(x & y) / len(x | y), 6) >= 0.8}
+    pairs = similarity.similar_pairs(classes)
+    assert {(x.a, x.b): x.jaccard for x in pairs.collect()} == want and want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((s|df)#", plan) and "hashpartitioning(h#" in plan
